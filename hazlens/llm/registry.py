@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from hazlens.llm import exact_dedup
+import public_tokenizers
+
+from hazlens.llm import bpe, exact_dedup, packing
 from hazlens.session import table
 
 
@@ -10,7 +12,19 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op4_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_packing": op4_packing,
+    "op8_bpe": op8_bpe,
+}
 
 ORACLE = {
     "op1_exact_dedup": """

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer single text is worked on alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -83,7 +83,7 @@ def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, n
     kind, width = (pa.large_string(), np.int64) if large else (pa.string(), np.int32)
     array = pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = array.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(begin, at)
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(begin, at)
 
 
 def spread(values: np.ndarray, first: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +94,45 @@ def spread(values: np.ndarray, first: np.ndarray, codes: np.ndarray) -> tuple[np
     return values[where], np.concatenate([[0], ends]).astype(np.int64)
 
 
-class Known:
-    """A bounded memory of what was worked out for runs; it forgets all when full."""
+class Memo:
+    """A bounded memory of ragged values worked out for strings; it forgets all when full."""
 
-    def __init__(self, limit: int = 400_000) -> None:
-        self.limit, self.of = limit, {}
+    def __init__(self, dtype: type = np.uint32, limit: int = 400_000) -> None:
+        self.dtype, self.limit = dtype, limit
+        self._reset()
 
-    def look(self, runs: list[str], work) -> list:
-        """The value of each run; ``work`` gets the list of those not known yet."""
-        of = self.of
-        new = [r for r in runs if r not in of]
-        if len(of) + len(new) > self.limit:
-            of.clear()
-            new = runs
+    def _reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.values, self.first = np.zeros(1 << 16, self.dtype), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def codes(self, keys: list[str], work) -> np.ndarray:
+        """The number of each key, for :meth:`take`; good until the next call. ``work`` gets distinct keys that
+        aren't known and returns their values in turn and the offset of each."""
+        index = self.index
+        new = [k for k in dict.fromkeys(keys) if k not in index]
+        if new and len(index) + len(new) > self.limit:
+            self._reset()
+            index, new = self.index, list(dict.fromkeys(keys))
         if new:
-            of.update(zip(new, work(new), strict=True))
-        return [of[r] for r in runs]
+            values, ends = work(new)
+            at, n = len(index), len(new)
+            self.values = self._room(self.values, self.used + len(values))
+            self.first = self._room(self.first, at + n + 1)
+            self.values[self.used : self.used + len(values)] = values
+            self.first[at + 1 : at + n + 1] = self.used + ends[1:]
+            self.used += len(values)
+            index.update(zip(new, range(at, at + n), strict=True))
+        return np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
+
+    @staticmethod
+    def _room(array: np.ndarray, need: int) -> np.ndarray:
+        if need <= len(array):
+            return array
+        out = np.zeros(max(need, 2 * len(array)), array.dtype)
+        out[: len(array)] = array
+        return out
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of each code in turn and the offset of each."""
+        return spread(self.values, self.first[: len(self.index) + 1], codes)
