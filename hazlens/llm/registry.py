@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hazlens.llm import bpe, exact_dedup, packing
+from hazlens.llm import bpe, exact_dedup, packing, secret_scan, url_rules
 from hazlens.session import table
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark, sf_dir):
+    return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_table(spark, url_rules.RULES))
+
+
 def op4_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -20,10 +24,16 @@ def op8_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_secret_scan(spark, sf_dir):
+    return secret_scan.found(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op8_bpe": op8_bpe,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE = {
@@ -32,4 +42,20 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_url_rules": """
+        WITH rest AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END AS r FROM pages
+        ), cut AS (
+            SELECT row_number() OVER () AS n, page_id,
+                   translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest
+        ), rules(h, p, v) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), fit AS (
+            SELECT n, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+            FROM cut JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN fit USING (n)
+    """,
 }
