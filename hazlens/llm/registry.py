@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hazlens.llm import bpe, exact_dedup, packing, secret_scan, url_rules
+from hazlens.llm import bpe, exact_dedup, packing, secret_scan, simhash, url_rules
 from hazlens.session import table
 
 
@@ -20,6 +20,10 @@ def op4_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
+    "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
 }
