@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hazlens.llm import bpe, exact_dedup, packing, secret_scan, simhash, url_rules
+from pyspark.sql import functions as F
+
+from hazlens.llm import bpe, exact_dedup, line_dedup, packing, secret_scan, simhash, url_rules
 from hazlens.session import table
 
 
@@ -20,6 +22,12 @@ def op4_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    """doc_id, lines_removed, dropped and the digest of the text that is left."""
+    done = line_dedup.cleaned(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("__lines_removed").alias("lines_removed"), F.col("__dropped").alias("dropped"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
@@ -63,4 +72,25 @@ ORACLE = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN fit USING (n)
     """,
+    "op6_line_dedup": """
+        WITH parts AS (
+            SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents
+        ), lines AS (
+            SELECT doc_id, source, len(ls) AS n, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM parts
+        ), spread AS (
+            SELECT line FROM lines WHERE regexp_matches(line, '\\S') GROUP BY line
+            HAVING count(DISTINCT source) >= 10 AND count(DISTINCT (n, pos)) >= 10
+        ), marked AS (
+            SELECT l.doc_id, l.pos, l.line, s.line IS NOT NULL AS shared,
+                   row_number() OVER (PARTITION BY l.line ORDER BY l.doc_id, l.pos) AS turn
+            FROM lines l LEFT JOIN spread s USING (line)
+        ), whole AS (
+            SELECT doc_id, count(*) FILTER (shared AND turn > 1) AS lines_removed,
+                   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (shared AND turn > 1)), '') AS t
+            FROM marked GROUP BY doc_id
+        )
+        SELECT doc_id, lines_removed, lines_removed > 0 AND NOT regexp_matches(t, '\\S') AS dropped,
+               length(t) AS n_chars_left, sha256(t) AS text_sha256
+        FROM whole
+    """,
 }
