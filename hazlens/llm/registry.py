@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from hazlens.llm import bpe, exact_dedup, line_dedup, packing, secret_scan, simhash, url_rules
+from hazlens.llm import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, toxicity, url_rules
 from hazlens.session import table
 
 
@@ -22,6 +22,11 @@ def op4_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_line_dedup(spark, sf_dir):
     """doc_id, lines_removed, dropped and the digest of the text that is left."""
     done = line_dedup.cleaned(table(spark, sf_dir, "documents"))
@@ -40,14 +45,21 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.found(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
