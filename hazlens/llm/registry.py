@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from hazlens.llm import bpe, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, toxicity, url_rules
+from hazlens.llm import bpe, exact_dedup, line_dedup, neighbours, packing, quality, secret_scan, simhash, toxicity, url_rules
 from hazlens.session import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_url_rules(spark, sf_dir):
     return url_rules.judged(table(spark, sf_dir, "pages"), url_rules.rules_table(spark, url_rules.RULES))
 
@@ -52,6 +56,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_neighbours": op2_neighbours,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
