@@ -25,3 +25,16 @@ def build(master: str | None = None, app: str = "hazlens", **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; one of this machine's for local masters that name none."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="hazlens-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
