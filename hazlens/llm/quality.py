@@ -32,6 +32,8 @@ TRAIN_ROWS = 20_000
 #: Shrinkage of a class's covariance towards the pooled one, and of that mixture towards its diagonal.
 POOLED, DIAGONAL = 0.2, 0.1
 THRESHOLD = 0.3
+#: Bytes of text whose statistics are made at once; the masks and sums take some fifty times that.
+PIECE_BYTES = 4 << 20
 #: Words at which a text's statistics weigh as much as the prior: a few words tell little.
 FEW_WORDS = 8
 
@@ -143,7 +145,7 @@ class Discriminant:
 
 
 def _labelled_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in runs.pieces(batches):
+    for batch in runs.pieces(batches, limit=PIECE_BYTES):
         x = statistics(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -160,7 +162,7 @@ def scored(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), labelled.held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs.pieces(batches):
+        for batch in runs.pieces(batches, limit=PIECE_BYTES):
             score = model.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
 
@@ -172,7 +174,7 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
     """The rows whose score reaches the threshold, with their columns."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs.pieces(batches):
+        for batch in runs.pieces(batches, limit=PIECE_BYTES):
             yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= threshold))
 
     return docs.mapInArrow(work, docs.schema)
