@@ -43,8 +43,8 @@ def macro(per_rule: DataFrame, rule: str = "rule_id") -> DataFrame:
 
 
 def calibration(rows: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
-    """Mean score and observed rate by bin of the score; 1 itself falls in the last bin."""
-    at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("long").alias("bin")
+    """Mean score and observed rate by bin of the score; 1 itself falls in the last bin, and a score on an edge but for rounding above it."""
+    at = F.least(F.floor(F.round(F.col(score) * bins, 6)), F.lit(bins - 1)).cast("long").alias("bin")
     return rows.groupBy(at).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed"))
 
 

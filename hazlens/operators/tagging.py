@@ -28,6 +28,21 @@ def tags(reports: DataFrame, lexicon: list[Entry], key: str = "report_id", text:
     return reports.select(key, F.explode(rules_of(F.col(text), lexicon)).alias("rule_id"))
 
 
+SPAN = "array<struct<rule_id:string,start:int,length:int,snippet:string>>"
+
+
+def _spans(rule_id: str, found: Column, between: Column) -> Column:
+    """Spans of the matches ``found``, from the texts between them, in one pass from left to right."""
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("s")))
+
+    def step(done: Column, x: Column) -> Column:
+        at = done["at"] + x["gap"]
+        span = F.struct(F.lit(rule_id).alias("rule_id"), at.alias("start"), x["n"].alias("length"), x["s"].alias("snippet"))
+        return F.struct((at + x["n"]).alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(steps, F.struct(F.lit(1).alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
+
+
 def evidence(reports: DataFrame, lexicon: list[Entry], key: str = "report_id", text: str = "narrative", around: int = 20) -> DataFrame:
     """(key, rule_id, start, length, snippet, context) of every match; start counts from 1.
 
@@ -39,14 +54,7 @@ def evidence(reports: DataFrame, lexicon: list[Entry], key: str = "report_id", t
     for k, e in enumerate(lexicon):
         lists[f"__m{k}"] = F.regexp_extract_all(t, F.lit(e.pattern), F.lit(1))
         lists[f"__b{k}"] = F.split(t, e.pattern, -1)
-    spans = []
-    for k, e in enumerate(lexicon):
-        found = F.col(f"__m{k}")
-        steps = F.transform(found, lambda s, i, k=k: F.struct(F.length(F.get(f"__b{k}", i)).alias("gap"), F.length(s).alias("n"), s.alias("s")))
-        none = F.array().cast("array<struct<rule_id:string,start:int,length:int,snippet:string>>")
-        start = F.struct(F.lit(1).alias("at"), none.alias("out"))
-        span = lambda acc, x, e=e: F.struct(F.lit(e.rule_id).alias("rule_id"), (acc["at"] + x["gap"]).alias("start"), x["n"].alias("length"), x["s"].alias("snippet"))
-        spans.append(F.aggregate(steps, start, lambda acc, x, span=span: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(span(acc, x))).alias("out")))["out"])
+    spans = [_spans(e.rule_id, F.col(f"__m{k}"), F.col(f"__b{k}")) for k, e in enumerate(lexicon)]
     hits = reports.where(F.size(rules_of(t, lexicon)) > 0).select(key, t.alias("__text"), *(c.alias(n) for n, c in lists.items()))
     rows = hits.select(key, "__text", F.explode(F.flatten(F.array(*spans))).alias("e")).select(key, "__text", "e.*")
     low = F.greatest(F.col("start") - around, F.lit(1))

@@ -169,9 +169,15 @@ def exact_dedup(spark, sf_dir):
     return dedup.exact(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(r"""
+    WITH d AS (SELECT min(doc_id) AS doc_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM documents GROUP BY text),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS sh FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS key_a, b.doc_id AS key_b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT key_a, key_b, round(c::DOUBLE / (na.n + nb.n - c), 9) AS jaccard FROM p JOIN n na ON na.doc_id = key_a JOIN n nb ON nb.doc_id = key_b WHERE c::DOUBLE / (na.n + nb.n - c) >= 0.8
+""")
 def jaccard_near_dup(spark, sf_dir):
-    """Pairs of distinct texts with 0.8 of their five-word shingles in common; tested against brute force."""
+    """Pairs of distinct texts with 0.8 of their five-word shingles in common."""
     return _ROUND(dedup.jaccard_pairs(_docs(spark, sf_dir), "doc_id", "text"), "jaccard")
 
 
@@ -287,7 +293,7 @@ def multilabel_prf1(spark, sf_dir):
     return _ROUND(evaluate.multilabel(docs.select("doc_id", F.explode(truth).alias("rule_id")), tagging.tags(docs, lex.FIXTURE, "doc_id", "text"), "doc_id"), "precision", "recall", "f1")
 
 
-@query(f"WITH {_JUDGED} SELECT least(floor(score * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(toxic), 9) AS observed FROM judged GROUP BY 1")
+@query(f"WITH {_JUDGED} SELECT least(floor(round(score * 10, 6)), 9)::BIGINT AS bin, count(*) AS n, round(avg(score), 9) AS mean_score, round(avg(toxic), 9) AS observed FROM judged GROUP BY 1")
 def calibration_bins(spark, sf_dir):
     return _ROUND(evaluate.calibration(_judged(spark, sf_dir), "toxic", "score"), "mean_score", "observed")
 
@@ -516,8 +522,13 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _glob(sf_dir: str, name: str) -> str:
+    """A table's path as a pattern: a stream's own path must be a folder, a pattern may match a file or a folder."""
+    return f"{sf_dir}/[{name[0]}]{name[1:]}.parquet"
+
+
 def _stream(spark, sf_dir):
-    return feeds.events(spark, f"{sf_dir}/events.parquet")
+    return feeds.events(spark, _glob(sf_dir, "events"))
 
 
 @query()
@@ -531,9 +542,10 @@ def stream_sliding(spark, sf_dir):
     return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir), width="1 day", slide="6 hours"), _folder(spark))
 
 
-@query()
+@query("SELECT DISTINCT event_id, ts, user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
-    return feeds.run_now(feeds.deduplicated(_stream(spark, sf_dir), ["event_id"]), _folder(spark))
+    out = feeds.run_now(feeds.deduplicated(_stream(spark, sf_dir), ["event_id"]), _folder(spark))
+    return out.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
 
 
 @query()
@@ -548,7 +560,7 @@ def stream_repeat_alerts(spark, sf_dir):
 
 @query(f"WITH {_TAGS} SELECT * FROM tags")
 def stream_tags(spark, sf_dir):
-    stream = spark.readStream.schema(_docs(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(_docs(spark, sf_dir).schema).parquet(_glob(sf_dir, "documents"))
     return feeds.run_now(feeds.tagged(stream, lex.FIXTURE, "doc_id", "text"), _folder(spark))
 
 
