@@ -493,7 +493,7 @@ def _decoded(path: str):
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of each whole text."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_encoded(path), "doc_id long, ids array<int>")
+    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_encoded(path), "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -503,4 +503,4 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """What encoding each whole text and decoding it again gives, as counts and hashes."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_digests(path), SCHEMA)
+    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_digests(path), SCHEMA)

@@ -33,7 +33,7 @@ TRAIN_ROWS = 20_000
 POOLED, DIAGONAL = 0.2, 0.1
 THRESHOLD = 0.3
 #: Bytes of text whose statistics are made at once; the masks and sums take some fifty times that.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Words at which a text's statistics weigh as much as the prior: a few words tell little.
 FEW_WORDS = 8
 
@@ -152,7 +152,7 @@ def _labelled_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Discriminant:
     """Densities of ``labels.quality`` from at most ``rows`` rows outside the held-out fold."""
-    got = labelled.sample(docs, labels, "quality", rows).mapInArrow(_labelled_statistics, "label int, x array<double>").toArrow()
+    got = runs.bounded(labelled.sample(docs, labels, "quality", rows)).mapInArrow(_labelled_statistics, "label int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), float)
     return Discriminant(x, got.column("label").to_numpy())
 
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -
             score = model.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
 
-    out = rows.mapInArrow(work, "doc_id long, held_out boolean, score double")
+    out = runs.bounded(rows).mapInArrow(work, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -177,4 +177,4 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
         for batch in runs.pieces(batches, limit=PIECE_BYTES):
             yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return runs.bounded(docs).mapInArrow(work, docs.schema)

@@ -13,14 +13,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once; a longer single text is worked on alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches between the JVM and Python are bounded by bytes.
+
+    Rows alone don't bound them: ten thousand long texts are hundreds of megabytes, held on both sides.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offset of each text (one more than texts); null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -97,7 +107,7 @@ def spread(values: np.ndarray, first: np.ndarray, codes: np.ndarray) -> tuple[np
 class Memo:
     """A bounded memory of ragged values worked out for strings; it forgets all when full."""
 
-    def __init__(self, dtype: type = np.uint32, limit: int = 400_000) -> None:
+    def __init__(self, dtype: type = np.uint32, limit: int = 250_000) -> None:
         self.dtype, self.limit = dtype, limit
         self._reset()
 

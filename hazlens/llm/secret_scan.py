@@ -35,6 +35,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from hazlens.llm import runs
+
 # The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -162,7 +164,7 @@ def _found(model: Markov):
 
 def found(docs: DataFrame, model: Markov | None = None) -> DataFrame:
     """Counts, a digest of the base spans and all spans of each row."""
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_found(model or default_model()), SCHEMA)
+    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_found(model or default_model()), SCHEMA)
 
 
 def redact(text: str, model: Markov, mark: str) -> str:
@@ -192,4 +194,4 @@ def redacted(docs: DataFrame, model: Markov | None = None, mark: str = "[secret]
                 columns[n] = pc.utf8_length(text).cast(batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(work, docs.schema)
+    return runs.bounded(docs).mapInArrow(work, docs.schema)

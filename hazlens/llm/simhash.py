@@ -94,7 +94,7 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def _fingerprints(width: int, words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs.pieces(batches, limit=4 << 20):
+        for batch in runs.pieces(batches, limit=2 << 20):
             hashes, ends = shingle_hashes(batch.column("text"), width)
             prints = [majority(mixed(hashes, k) if k else hashes, ends).view(np.int64) for k in range(words)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), *map(pa.array, prints)], [*(c for c in batch.schema.names if c != "text"), *(f"f{k}" for k in range(words))])
@@ -105,7 +105,7 @@ def _fingerprints(width: int, words: int):
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     """The columns of ``docs`` but text, and f0, f1, ...: 64 bits of the fingerprint each."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(_fingerprints(width, words), ", ".join([kept, *(f"f{k} long" for k in range(words))]))
+    return runs.bounded(docs).mapInArrow(_fingerprints(width, words), ", ".join([kept, *(f"f{k} long" for k in range(words))]))
 
 
 def _touching(table: DataFrame, probes: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
