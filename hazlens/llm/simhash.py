@@ -180,10 +180,13 @@ def _distance(words: int, a: str = "", b: str = "o_") -> F.Column:
 
 
 def _forest(words: int, distance: int):
-    """Edges of a forest over the verified pairs of one block; anchors come first."""
+    """Edges of a forest over the verified pairs of one block.
+
+    Nodes are taken in their own order, so that blocks with nodes in common choose the same edges.
+    """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").sort_values(["anchor", "node"], ascending=[False, True])
+        rows = rows.drop_duplicates("node").sort_values("node")
         node = rows["node"].to_numpy()
         bits = rows[[f"f{k}" for k in range(words)]].to_numpy(np.int64).view(np.uint64)
         label = np.arange(len(node))
@@ -213,7 +216,8 @@ def wide_links(prints: DataFrame, words: int, distance: int, rows: int, hot_limi
     flips = F.array(*(F.lit(1 << k) for k in range(bits)))
     ball = table.select("node", "segment", F.explode(F.filter(flips, lambda m: F.col("key").bitwiseAND(m) == 0)).alias("flip"), "key", "next").select("node", "segment", F.col("key").bitwiseOR(F.col("flip")).alias("key"), "next")
     probes = table.unionByName(ball)
-    hot = _hot(table, hot_limit)
+    # those that ask for an entry count as well: many askers of a middling entry are as many pairs
+    hot = _hot(probes, hot_limit)
     cold, touching = _touching(table, probes, hot.select("segment", "key"))
     found = probes.select("node", "segment", "key").join(cold.select(F.col("node").alias("other"), "segment", "key"), ["segment", "key"]).where("node <> other")
     found = scratch.written(found.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct(), "candidates")
@@ -225,7 +229,7 @@ def wide_links(prints: DataFrame, words: int, distance: int, rows: int, hot_limi
     members = scratch.written(touching.join(hot, ["segment", "key"]).withColumn("blocks", blocks).withColumn("block", F.col("next") % F.col("blocks")), "hot-members")
     anchors = members.groupBy("segment", "key").agg(F.max("blocks").alias("blocks"), *(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).getField("node").alias(f"n{k}") for k in range(ANCHORS)))
     anchors = anchors.select("segment", "key", F.explode(F.array_distinct(F.array(*(f"n{k}" for k in range(ANCHORS))))).alias("node"), "blocks").select("segment", "key", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    dealt = members.select("segment", "key", "node", "block", F.lit(False).alias("anchor")).unionByName(anchors.withColumn("anchor", F.lit(True)))
+    dealt = members.select("segment", "key", "node", "block").unionByName(anchors)
     forest = dealt.join(prints, "node").groupBy("segment", "key", "block").applyInPandas(_forest(words, distance), "a long, b long")
     return pairs.unionByName(forest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
