@@ -1,22 +1,22 @@
-"""Near-duplicates by SimHash fingerprints and multi-index hashing.
-
-A fingerprint is cut into segments. Two fingerprints within the distance agree
-in some segment up to a small number of bits, so each segment has a table keyed
-by its value, and the ball of small radius about a fingerprint's own value is
-looked up there. Matches are verified by the complete distance. Of two values
-one bit apart, one has a 0 where the other has a 1; only that one asks, so a
-ball costs half its size.
-
-Equal fingerprints are one node throughout. A table entry with more than
-``HOT`` fingerprints isn't expanded into pairs:
-
-* ``links`` (64 bits, at most two bits apart) is exact there too. Two words are
-  at most two bits apart exactly if some word is at most one bit from both, so
-  the fingerprints that touch a hot entry are grouped by the 65 words around
-  each; no such group can have more than 65.
-* ``wide_links`` (more bits, larger distance) deals a hot entry into blocks by
-  the bits of the next segment, compares all within a block and with the
-  entry's anchors there, and keeps a forest of what it verified.
+"""Near-duplicates by SimHash fingerprints, all pairs within the distance.
+
+Equal fingerprints are one node throughout.
+
+``links`` (64 bits, at most two bits apart) uses multi-index hashing: each half
+has a table keyed by its value, and the ball of one bit about a fingerprint's
+own value is looked up there. Matches are verified by the complete distance. Of
+two values one bit apart, one has a 0 where the other has a 1; only that one
+asks, so a ball costs half its size. A table entry with more than ``HOT``
+fingerprints isn't expanded into pairs and is exact all the same: two words are
+at most two bits apart exactly if some word is at most one bit from both, so
+the fingerprints that touch a hot entry are grouped by the 65 words around
+each; no such group can have more than 65.
+
+``wide_links`` (more bits, larger distance) compares all pairs, in tiles of two
+blocks: a distance of 42 in 256 bits leaves no segment of usable width that
+agrees within a bit or two in every pair. A tile keeps a forest of what it
+verified. No pair is missed at any size; time grows with the square of the
+distinct fingerprints, rows moved with their square over ``BLOCK``.
 
 Defined results: null text counts as empty; texts without words have fingerprint
 zero, linked like any other; a null doc_id is no candidate for a component's
@@ -39,7 +39,8 @@ from hazlens.llm.components import components
 
 SEED = 42
 HOT = 64
-BLOCK, ANCHORS = 512, 16
+#: Most fingerprints of a block, and the least number of blocks, so that there are tiles enough to share out.
+BLOCK, LEAST_BLOCKS = 32768, 8
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,81 +158,50 @@ def with_component(of_doc: DataFrame, prints: DataFrame, roots: DataFrame, key:
 # ---- wide fingerprints ----------------------------------------------------
 
 
-def segments_of(rows: int, words: int) -> tuple[int, int]:
-    """(number, bits) of segments: entries stay few a key while the rows grow."""
-    bits = min(32, max(16, int(np.ceil(np.log2(rows + 1))) + 2))
-    return 64 * words // bits, bits
-
-
-def _keys(words: int, number: int, bits: int) -> list[F.Column]:
-    """The value of each segment, which may lie across two words."""
-    out = []
-    for s in range(number):
-        word, shift = divmod(s * bits, 64)
-        key = F.shiftrightunsigned(f"f{word}", shift)
-        if shift + bits > 64:
-            key = key.bitwiseOR(F.shiftleft(f"f{word + 1}", 64 - shift))
-        out.append(key.bitwiseAND(F.lit((1 << bits) - 1)))
-    return out
-
-
-def _distance(words: int, a: str = "", b: str = "o_") -> F.Column:
-    return sum((F.bit_count(F.col(f"{a}f{k}").bitwiseXOR(F.col(f"{b}f{k}"))) for k in range(1, words)), F.bit_count(F.col(f"{a}f0").bitwiseXOR(F.col(f"{b}f0"))))
-
-
 def _forest(words: int, distance: int):
-    """Edges of a forest over the verified pairs of one block.
+    """Edges of a forest over the pairs of one tile that are within the distance.
 
-    Nodes are taken in their own order, so that blocks with nodes in common choose the same edges.
+    A tile has the nodes of two blocks, and the pairs between them; or of one, and its pairs.
     """
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node").sort_values("node")
-        node = rows["node"].to_numpy()
-        bits = rows[[f"f{k}" for k in range(words)]].to_numpy(np.int64).view(np.uint64)
+        rows = rows.drop_duplicates("node").sort_values(["block", "node"])
+        node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+        bits = np.ascontiguousarray(rows[[f"f{k}" for k in range(words)]].to_numpy(np.int64).view(np.uint64).T)
+        first = int(np.searchsorted(block, block[0], "right"))
         label = np.arange(len(node))
         a, b = [], []
-        for k in range(len(node) - 1):
-            near = k + 1 + np.flatnonzero(np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1) <= distance)
+        for k in range(first):
+            low = k + 1 if first == len(node) else first
+            # two words alone are over the distance in nearly all pairs
+            apart = np.bitwise_count(bits[0, low:] ^ bits[0, k])
+            if words > 1:
+                apart += np.bitwise_count(bits[1, low:] ^ bits[1, k])
+            near = low + np.flatnonzero(apart <= distance)
             near = near[label[near] != label[k]]
-            for other in near.tolist():
-                if label[other] != label[k]:
-                    a.append(node[k])
-                    b.append(node[other])
-                    label[label == label[other]] = label[k]
+            if len(near):
+                near = near[np.bitwise_count(bits[:, near] ^ bits[:, k : k + 1]).sum(0, dtype=np.int64) <= distance]
+            if len(near):
+                near = near[np.unique(label[near], return_index=True)[1]]
+                a += [node[k]] * len(near)
+                b += node[near].tolist()
+                label[np.isin(label, label[near])] = label[k]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return work
 
 
-def wide_links(prints: DataFrame, words: int, distance: int, rows: int, hot_limit: int = HOT) -> DataFrame:
-    """Edges (a, b) between nodes at most ``distance`` bits apart. prints: node, f0, f1, ...
+def wide_links(prints: DataFrame, words: int, distance: int, rows: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between nodes at most ``distance`` bits apart, enough to connect all such pairs. prints: node, f0, f1, ...
 
-    A pair is met where a segment of it differs in at most one bit.
+    Nodes are dealt into blocks by a hash, ``block`` of them in each at most but for chance.
     """
-    number, bits = segments_of(rows, words)
-    keys = _keys(words, number, bits)
-    entry = F.array(*(F.struct(F.lit(s).alias("segment"), k.alias("key"), keys[(s + 1) % number].alias("next")) for s, k in enumerate(keys)))
-    table = scratch.written(prints.select("node", F.explode(entry).alias("e")).select("node", "e.segment", "e.key", "e.next"), "simhash-table")
-    flips = F.array(*(F.lit(1 << k) for k in range(bits)))
-    ball = table.select("node", "segment", F.explode(F.filter(flips, lambda m: F.col("key").bitwiseAND(m) == 0)).alias("flip"), "key", "next").select("node", "segment", F.col("key").bitwiseOR(F.col("flip")).alias("key"), "next")
-    probes = table.unionByName(ball)
-    # those that ask for an entry count as well: many askers of a middling entry are as many pairs
-    hot = _hot(probes, hot_limit)
-    cold, touching = _touching(table, probes, hot.select("segment", "key"))
-    found = probes.select("node", "segment", "key").join(cold.select(F.col("node").alias("other"), "segment", "key"), ["segment", "key"]).where("node <> other")
-    found = scratch.written(found.select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct(), "candidates")
-    other = prints.select(F.col("node").alias("other"), *(F.col(f"f{k}").alias(f"o_f{k}") for k in range(words)))
-    pairs = found.join(prints, "node").join(other, "other").where(_distance(words) <= distance).select(F.col("node").alias("a"), F.col("other").alias("b"))
-
-    # a hot entry: blocks by the low bits of the next segment, each with the entry's anchors
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("entries") / BLOCK)).cast("long")
-    members = scratch.written(touching.join(hot, ["segment", "key"]).withColumn("blocks", blocks).withColumn("block", F.col("next") % F.col("blocks")), "hot-members")
-    anchors = members.groupBy("segment", "key").agg(F.max("blocks").alias("blocks"), *(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node")).getField("node").alias(f"n{k}") for k in range(ANCHORS)))
-    anchors = anchors.select("segment", "key", F.explode(F.array_distinct(F.array(*(f"n{k}" for k in range(ANCHORS))))).alias("node"), "blocks").select("segment", "key", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    dealt = members.select("segment", "key", "node", "block").unionByName(anchors)
-    forest = dealt.join(prints, "node").groupBy("segment", "key", "block").applyInPandas(_forest(words, distance), "a long, b long")
-    return pairs.unionByName(forest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = max(LEAST_BLOCKS, -(-rows // block))
+    dealt = prints.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select(F.expr(f"least(block, other) * {blocks} + greatest(block, other)").alias("tile"), "block", "node", *(f"f{k}" for k in range(words)))
+    # by number, so that tiles that are small in bytes aren't put together in a few tasks
+    forest = dealt.repartition(blocks * (blocks + 1) // 2, "tile").groupBy("tile").applyInPandas(_forest(words, distance), "a long, b long")
+    return forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, words: int = 4, distance: int = 42) -> DataFrame:

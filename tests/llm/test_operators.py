@@ -345,6 +345,28 @@ def test_wide_links_meet_the_pairs(spark, hot_limit):
     assert all(roots.get(k) == 0 for k in range(31)) and not any(k in roots for k in range(31, 61))
 
 
+@pytest.mark.parametrize("rows, block", [(300, 1000), (3_000_000, 200_000), (300, 30)])
+def test_wide_links_miss_no_pair(spark, rows, block):
+    """Groups of two, three and many at up to the distance, against brute force, whatever the number of rows or blocks."""
+    rng = random.Random(8)
+    flipped = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(256), n))
+    values = [rng.getrandbits(256) for _ in range(60)]
+    # the differing bits are spread evenly, so that each segment of any width has some
+    values += [v ^ sum(1 << (6 * k + rng.randrange(6)) for k in range(42)) for v in values[:30]]
+    values += [flipped(values[k % 60], n) for k, n in enumerate([42, 43, 40, 41] * 20)]
+    values += [flipped(values[0], 20) for _ in range(130)]
+    rows_in = [(k, *((x - (1 << 64) if x >> 63 else x) for x in ((v >> 64 * w) & ((1 << 64) - 1) for w in range(4)))) for k, v in enumerate(values)]
+    prints = spark.createDataFrame(rows_in, "node long, f0 long, f1 long, f2 long, f3 long")
+    root = list(range(len(values)))
+    for a in range(len(values)):
+        for b in range(a):
+            if (values[a] ^ values[b]).bit_count() <= 42 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.node: r.root for r in components.components(simhash.wide_links(prints, 4, 42, rows, block)).collect()}
+    assert [got.get(k, k) for k in range(len(values))] == root
+
+
 def test_keep_one(spark, messy):
     rng = random.Random(9)
     base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(2, 9) for _ in range(300)]
