@@ -367,6 +367,21 @@ def test_wide_links_miss_no_pair(spark, rows, block):
     assert [got.get(k, k) for k in range(len(values))] == root
 
 
+def test_wide_links_of_a_common_template(spark):
+    """Groups of two among many texts that agree in two segments and are far apart otherwise."""
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 1 << 16, (650, 16))
+    one[:, [0, 8]] = one[0, [0, 8]]
+    # three bits in each of the other segments: 42 bits apart
+    two = one ^ np.array([[0 if s in (0, 8) else sum(1 << int(b) for b in rng.choice(16, 3, replace=False)) for s in range(16)] for _ in one])
+    bits = np.concatenate([one, two]).astype("<u2").view("<i8")
+    prints = spark.createDataFrame([(k, *row) for k, row in enumerate(bits.tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+    near = [np.flatnonzero(np.bitwise_count((bits[k + 1 :] ^ bits[k]).view(np.uint64)).sum(1) <= 42) + k + 1 for k in range(len(bits))]
+    want = {(k, int(other)) for k, others in enumerate(near) for other in others}
+    assert len(want) == 650
+    assert {(r.a, r.b) for r in simhash.wide_links(prints, 4, 42, len(bits)).collect()} == want
+
+
 def test_keep_one(spark, messy):
     rng = random.Random(9)
     base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(2, 9) for _ in range(300)]
