@@ -1,12 +1,14 @@
 """Secrets by patterns, and by character Markov models for what no pattern names.
 
-Three patterns give the base spans (assign, access, hex). Beside them, runs of
-token letters that no base span covers are scored by two first-order Markov
+Three patterns give the base spans (assign, access, hex). Beside them, what base
+spans leave of runs of token letters is scored by two first-order Markov
 models over character classes of their own alphabets: one trained on labelled
 random strings, one on labelled ordinary identifiers. A run is a secret (kind
 ``random``) if the log-likelihood ratio a character, random against ordinary,
 is over a threshold that is set on the labelled samples so that no ordinary one
-of them passes.
+of them passes. Of a run that isn't, each stretch with windows of ``WINDOW``
+characters over the threshold is one: where its ratios have the largest sum,
+widened to the next joining characters. So a key counts whatever it is joined to.
 
 The samples are given as parameters. Those by default are made by rule from a
 fixed seed: random strings over the alphabets that keys are written in, and
@@ -47,6 +49,9 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A run to be scored: 20 to any number of token letters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+WINDOW = 20
+#: Letters that join the names and values of a run.
+JOINS = re.compile(r"[+/_=-]")
 #: A run is only looked at with a digit or with both cases inside: plain words of any language have neither.
 MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 LETTERS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
@@ -110,10 +115,35 @@ class Markov:
     def _codes(self, s: str) -> np.ndarray:
         return self.code[np.frombuffer(s.encode("ascii"), np.uint8)]
 
+    def ratios(self, s: str) -> np.ndarray:
+        """Log-likelihood ratio of each character after the one before it."""
+        at = self._codes(s)
+        return self.ratio[np.concatenate([[len(LETTERS)], at[:-1]]), at]
+
     def score(self, s: str) -> float:
         """Log-likelihood ratio a character."""
-        at = self._codes(s)
-        return float(self.ratio[np.concatenate([[len(LETTERS)], at[:-1]]), at].mean())
+        return float(self.ratios(s).mean())
+
+    def stretches(self, s: str) -> list[tuple[int, int]]:
+        """(start, end) of what is random in ``s``: all of it, or the stretches around windows over the threshold."""
+        ratios = self.ratios(s)
+        if ratios.mean() > self.threshold:
+            return [(0, len(s))]
+        sums = np.concatenate([[0.0], np.cumsum(ratios)])
+        over = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] > WINDOW * self.threshold)
+        out: list[tuple[int, int]] = []
+        for windows in np.split(over, np.flatnonzero(np.diff(over) > WINDOW) + 1) if len(over) else []:
+            part = sums[windows[0] : windows[-1] + WINDOW + 1]
+            end = int(np.argmax(part - np.minimum.accumulate(part)))
+            begin = int(windows[0]) + int(np.argmin(part[: end + 1]))
+            end += int(windows[0])
+            begin = max((m.end() for m in JOINS.finditer(s, 0, begin)), default=0)
+            end = m.start() if (m := JOINS.search(s, end)) else len(s)
+            if out and begin <= out[-1][1]:
+                begin = out.pop()[0]
+            if MIXED.search(s, begin, end):
+                out.append((begin, end))
+        return out
 
 
 @lru_cache(1)
@@ -130,12 +160,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], model: Markov) -> list[tuple[int, int, int]]:
-    """Runs outside the base spans that the models call random."""
-    out = []
+    """What the models call random in the runs, outside the base spans."""
+    out, k = [], 0
     for m in RUN.finditer(text):
-        run = m[0]
-        if MIXED.search(run) and not any(a < m.end() and m.start() < b for a, _, b in base) and model.score(run) > model.threshold:
-            out.append((m.start(), 3, m.end()))
+        while k < len(base) and base[k][2] <= m.start():
+            k += 1
+        at, free = m.start(), []
+        for a, _, b in base[k:]:
+            if a >= m.end():
+                break
+            free.append((at, a))
+            at = max(at, b)
+        for begin, end in [*free, (at, m.end())]:
+            if end - begin >= WINDOW and MIXED.search(text, begin, end):
+                out += [(begin + a, 3, begin + b) for a, b in model.stretches(text[begin:end])]
     return out
 
 

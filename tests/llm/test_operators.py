@@ -421,6 +421,35 @@ def test_models_tell_new_samples_apart():
     assert not any(model.score(s) > model.threshold for s in secret_scan.ordinary_identifiers(400, 78))
 
 
+@pytest.mark.parametrize("size", [20, 24, 32, 40])
+@pytest.mark.parametrize("before, after", [("/services/incoming/webhooks/production/", ""), ("service_account_private_key_id=", ""), ("aws_secret_access_key=", ""), ("/services/incoming/", "/settings/notifications/channels")])
+def test_keys_joined_to_ordinary_names_are_found(before, after, size):
+    model, rng = secret_scan.default_model(), random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    missed = 0
+    for _ in range(400):
+        key = "".join(rng.choices(letters, k=size))
+        clean = secret_scan.redact(f"see {before}{key}{after} there", model, "*")
+        # all of the key goes or, in the few that look like words by chance, nothing of it
+        missed += key in clean
+        assert key in clean or not any(key[k : k + 6] in clean for k in range(size - 5)), (key, clean)
+        assert clean.startswith("see ") and clean.endswith(" there")
+    assert missed <= 4
+
+
+def test_what_base_spans_leave_of_a_run_is_scored():
+    model, key = secret_scan.default_model(), "kQ7vZx93LmW2pTr8YbN4cD6"
+    text = f"{key}/0123456789abcdef01234567/some/ordinary/path/of_names"
+    base = secret_scan.base_spans(text)
+    assert [text[a:b] for a, _, b in base] == ["0123456789abcdef01234567"]
+    assert [text[a:b].strip("/") for a, _, b in secret_scan.random_spans(text, base, model)] == [key]
+
+
+def test_ordinary_names_have_no_random_stretch():
+    model = secret_scan.default_model()
+    assert not any(model.stretches(s) for s in secret_scan.ordinary_identifiers(400, 78) if len(s) >= secret_scan.WINDOW)
+
+
 def test_failing_matches_take_up_their_text():
     # the value after password is too short, yet the match is used up
     assert secret_scan.base_spans("password: token: abcdefgh") == []
