@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -274,6 +275,19 @@ def test_line_dedup(spark, messy):
     assert line_dedup.cleaned(messy.limit(0)).count() == 0
 
 
+def test_headers_of_one_template_go_and_near_copies_stay(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n))
+    pages = ["\n".join(["shared header", words(20), words(20)]) for _ in range(12)]
+    few = ["\n".join(["header of nine", words(20), words(20)]) for _ in range(9)]
+    first, second = words(60).split(), words(60)
+    copies = ["\n".join([" ".join([*first[:k], "edited%d" % k, *first[k + 1 :]]), second, "last line"]) for k in range(30)]
+    texts = pages + few + copies
+    sources = [f"site{k}" for n in (12, 9, 30) for k in range(n)]
+    stage = corpus_pipeline.line_stage(spark, docs_of(spark, texts, sources), "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {k: t.split("\n", 1)[1] if 0 < k < 12 else t for k, t in enumerate(texts)}
+
+
 def test_line_dedup_runs_no_python(spark, messy):
     plan = line_dedup.cleaned(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
