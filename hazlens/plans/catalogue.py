@@ -533,13 +533,13 @@ def _stream(spark, sf_dir):
 
 @query()
 def stream_tumbling(spark, sf_dir):
-    """The batch twin's rows but for windows that the watermark hasn't closed."""
-    return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir)), _folder(spark))
+    """The batch twin's rows."""
+    return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir)), _folder(spark), "complete")
 
 
 @query()
 def stream_sliding(spark, sf_dir):
-    return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir), width="1 day", slide="6 hours"), _folder(spark))
+    return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir), width="1 day", slide="6 hours"), _folder(spark), "complete")
 
 
 @query("SELECT DISTINCT event_id, ts, user_id, event_type FROM events")
@@ -550,7 +550,7 @@ def stream_dedup(spark, sf_dir):
 
 @query()
 def stream_session(spark, sf_dir):
-    return feeds.run_now(feeds.sessions(_stream(spark, sf_dir)), _folder(spark))
+    return feeds.run_now(feeds.sessions(_stream(spark, sf_dir)), _folder(spark), "complete")
 
 
 @query()

@@ -90,7 +90,16 @@ def start(stream: DataFrame, checkpoint: str, path: str, mode: str = "append", t
 
 
 def run_now(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """All that is there now, worked through as a stream and read back from ``folder``."""
+    """All that is there now, worked through as a stream and read back from ``folder``.
+
+    In complete mode the rows are those after the last batch, with the windows that are still open.
+    """
+    if mode == "complete":
+        # there are rows even if no batch runs; a batch that is run again writes the same
+        stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows")
+        whole = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        whole.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
     query = start(stream, f"{folder}/checkpoint", f"{folder}/rows", mode) if mode == "append" else (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")).start()
     )

@@ -42,6 +42,18 @@ def test_query_equals_its_sql(spark, sql, name):
     assert cells(got) == cells(want)
 
 
+def test_stream_tumbling_equals_the_batch_sql(spark, sql):
+    got, want = catalogue.QUERIES["stream_tumbling"](spark, SF).toPandas(), sql.execute(catalogue.ORACLE["tumbling_batch"]).fetch_df()
+    assert cells(got.astype({"window_start": "datetime64[us]"})) == cells(want.astype({"window_start": "datetime64[us]"}))
+
+
+@pytest.mark.parametrize("name, windows", [("stream_sliding", 4), ("stream_session", 1)])
+def test_stream_windows_count_every_event(spark, name, windows):
+    """An event is in four sliding windows of a day and in one session."""
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert catalogue.QUERIES[name](spark, SF).agg({"n": "sum"}).first()[0] == windows * events
+
+
 def test_entry(spark):
     import __spark_entry__
 
