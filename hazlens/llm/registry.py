@@ -90,24 +90,26 @@ ORACLE = {
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN fit USING (n)
     """,
     "op6_line_dedup": """
-        WITH parts AS (
-            SELECT doc_id, text, source, string_split(text, chr(10)) AS ls FROM documents
-        ), lines AS (
-            SELECT doc_id, source, len(ls) AS n, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM parts
+        WITH texts AS (
+            SELECT text, arg_min(coalesce(source, chr(0)), doc_id) AS site FROM documents WHERE text IS NOT NULL GROUP BY text
         ), spread AS (
-            SELECT line FROM lines WHERE regexp_matches(line, '\\S') GROUP BY line
-            HAVING count(DISTINCT source) >= 10 AND count(DISTINCT (n, pos)) >= 10
+            SELECT line FROM (SELECT site, unnest(string_split(text, chr(10))) AS line FROM texts)
+            WHERE regexp_matches(line, '\\S') GROUP BY line HAVING count(DISTINCT site) >= 10
+        ), parts AS (
+            SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+        ), lines AS (
+            SELECT doc_id, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM parts
         ), marked AS (
             SELECT l.doc_id, l.pos, l.line, s.line IS NOT NULL AS shared,
                    row_number() OVER (PARTITION BY l.line ORDER BY l.doc_id, l.pos) AS turn
             FROM lines l LEFT JOIN spread s USING (line)
         ), whole AS (
-            SELECT doc_id, count(*) FILTER (shared AND turn > 1) AS lines_removed,
+            SELECT doc_id, count(*) FILTER (shared AND turn > 1) AS n,
                    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (shared AND turn > 1)), '') AS t
             FROM marked GROUP BY doc_id
         )
-        SELECT doc_id, lines_removed, lines_removed > 0 AND NOT regexp_matches(t, '\\S') AS dropped,
+        SELECT doc_id, coalesce(n, 0) AS lines_removed, coalesce(n, 0) > 0 AND NOT regexp_matches(t, '\\S') AS dropped,
                length(t) AS n_chars_left, sha256(t) AS text_sha256
-        FROM whole
+        FROM documents LEFT JOIN whole USING (doc_id)
     """,
 }
