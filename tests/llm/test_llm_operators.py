@@ -386,42 +386,47 @@ def test_near_duplicates(spark, messy):
     assert simhash.near_duplicates(messy.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot_limit", [simhash.HOT, 3])
-def test_wide_links_meet_the_pairs(spark, hot_limit):
-    rng = random.Random(7)
-    base = rng.getrandbits(256)
-    group = [base] + [base ^ sum(1 << b for b in rng.sample(range(256), 16)) for _ in range(30)]
-    alone = [rng.getrandbits(256) for _ in range(30)]
-
-    def words(v):
-        return [(x - (1 << 64) if x >> 63 else x) for x in ((v >> 64 * k) & ((1 << 64) - 1) for k in range(4))]
-
-    rows = [(k, *words(v)) for k, v in enumerate(group + alone)]
-    prints = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
-    roots = {r.node: r.root for r in components.components(simhash.wide_links(prints, 4, 42, len(rows), hot_limit)).collect()}
-    assert all(roots.get(k) == 0 for k in range(31)) and not any(k in roots for k in range(31, 61))
-
-
-@pytest.mark.parametrize("rows, block", [(300, 1000), (3_000_000, 200_000), (300, 30)])
-def test_wide_links_miss_no_pair(spark, rows, block):
-    """Groups of two, three and many at up to the distance, against brute force, whatever the number of rows or blocks."""
-    rng = random.Random(8)
-    flipped = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(256), n))
-    values = [rng.getrandbits(256) for _ in range(60)]
-    # the differing bits are spread evenly, so that each segment of any width has some
-    values += [v ^ sum(1 << (6 * k + rng.randrange(6)) for k in range(42)) for v in values[:30]]
-    values += [flipped(values[k % 60], n) for k, n in enumerate([42, 43, 40, 41] * 20)]
-    values += [flipped(values[0], 20) for _ in range(130)]
-    rows_in = [(k, *((x - (1 << 64) if x >> 63 else x) for x in ((v >> 64 * w) & ((1 << 64) - 1) for w in range(4)))) for k, v in enumerate(values)]
-    prints = spark.createDataFrame(rows_in, "node long, f0 long, f1 long, f2 long, f3 long")
-    root = list(range(len(values)))
-    for a in range(len(values)):
-        for b in range(a):
-            if (values[a] ^ values[b]).bit_count() <= 42 and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = [low if r == high else r for r in root]
-    got = {r.node: r.root for r in components.components(simhash.wide_links(prints, 4, 42, rows, block)).collect()}
-    assert [got.get(k, k) for k in range(len(values))] == root
+def prints_of(spark, values, words):
+    """Integers of 64 bits a word as a table of wide fingerprints, numbered in turn."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k, *(signed((v >> 64 * w) & ((1 << 64) - 1)) for w in range(words))) for k, v in enumerate(values)]
+    return spark.createDataFrame(rows, "node long, " + ", ".join(f"f{w} long" for w in range(words)))
+
+
+def roots_of(links, n):
+    got = {r.node: r.root for r in components.components(links).collect()}
+    return [got.get(k, k) for k in range(n)]
+
+
+@pytest.mark.parametrize("words, distance", [(4, 42), (8, 92)])
+@pytest.mark.parametrize("rows, task_rows", [(10**4, 1 << 19), (10**6, 1 << 19), (10**8, 1 << 19), (300, 100), (300, 20)])
+def test_wide_links_miss_no_pair(spark, words, distance, rows, task_rows):
+    """Groups of two, three and many at up to the distance, against brute force, whatever the number of rows, buckets or blocks."""
+    rng, bits = random.Random(8), 64 * words
+    flipped = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(bits), n))
+    values = [rng.getrandbits(bits) for _ in range(60)]
+    # the differing bits are spread evenly, so that every segment has some
+    step = bits // distance
+    values += [v ^ sum(1 << (step * k + rng.randrange(step)) for k in range(distance)) for v in values[:30]]
+    values += [flipped(values[k % 60], distance + n) for k, n in enumerate([0, 1, -2, -1] * 20)]
+    # near copies in one hot entry, with some that only reach a few of them
+    values += [flipped(values[0], distance // 4) for _ in range(130)]
+    values += [flipped(v, distance) for v in values[-20:]]
+    links = simhash.wide_links(prints_of(spark, values, words), words, distance, rows, task_rows)
+    assert roots_of(links, len(values)) == roots_by_hand(values, distance)
+
+
+def test_wide_links_of_a_hot_entry(spark):
+    """One key of one segment held by every row: pairs among them, and rows of one leader that don't meet in blocks."""
+    rng, words, distance = random.Random(5), 4, 42
+    low = (1 << simhash.SEGMENT) - 1
+    flipped = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(simhash.SEGMENT, 256), n))
+    values = [(rng.getrandbits(256) & ~low) | 77 for _ in range(150)]
+    values += [flipped(v, 42) for v in values[:75]] + [flipped(values[0], 9) for _ in range(200)]
+    values += [flipped(v, 42) for v in values[-30:]]
+    want = roots_by_hand(values, distance)
+    for task_rows in (1 << 19, 60, 12):
+        assert roots_of(simhash.wide_links(prints_of(spark, values, words), words, distance, len(values), task_rows), len(values)) == want
 
 
 def test_wide_links_of_a_common_template(spark):
@@ -436,7 +441,7 @@ def test_wide_links_of_a_common_template(spark):
     near = [np.flatnonzero(np.bitwise_count((bits[k + 1 :] ^ bits[k]).view(np.uint64)).sum(1) <= 42) + k + 1 for k in range(len(bits))]
     want = {(k, int(other)) for k, others in enumerate(near) for other in others}
     assert len(want) == 650
-    assert {(r.a, r.b) for r in simhash.wide_links(prints, 4, 42, len(bits)).collect()} == want
+    assert {(min(r), max(r)) for r in simhash.wide_links(prints, 4, 42, len(bits)).collect()} == want
 
 
 def test_keep_one(spark, messy):
