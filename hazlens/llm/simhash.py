@@ -195,14 +195,15 @@ class _Tile:
     be the square of a large group of near copies.
     """
 
-    def __init__(self, bits: np.ndarray, label: np.ndarray, distance: int) -> None:
+    def __init__(self, bits: list[np.ndarray], label: np.ndarray, distance: int) -> None:
         self.bits, self.label, self.distance, self.changed = bits, label, distance, True
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of rows are within the distance, judged on half of the words first."""
-        half = self.bits.shape[1] // 2
-        found = np.flatnonzero(np.bitwise_count(self.bits[a, :half] ^ self.bits[b, :half]).sum(1, dtype=np.int32) <= self.distance)
-        return found[np.bitwise_count(self.bits[a[found]] ^ self.bits[b[found]]).sum(1, dtype=np.int32) <= self.distance]
+        half = len(self.bits) // 2
+        apart = lambda words, a, b: sum((np.bitwise_count(w[a] ^ w[b]) for w in words), np.zeros(len(a), np.uint16))
+        found = np.flatnonzero(apart(self.bits[:half], a, b) <= self.distance)
+        return found[apart(self.bits, a[found], b[found]) <= self.distance] if len(found) else found
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Rows a[k] and b[k] are connected."""
@@ -244,6 +245,10 @@ class _Tile:
         while at < len(i):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS, "right")))
             n = product[at:stop]
+            if ends[stop - 1] - (ends[at - 1] if at else 0) == stop - at:  # one row each
+                self.compare(one.rows[one.first[i[at:stop]]], two.rows[two.first[j[at:stop]]])
+                at = stop
+                continue
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             width = np.repeat(two.size[j[at:stop]], n)
             self.compare(one.rows[np.repeat(one.first[i[at:stop]], n) + place // width], two.rows[np.repeat(two.first[j[at:stop]], n) + place % width])
@@ -296,8 +301,10 @@ def _matched(words: int, distance: int, radius: int, low: int):
 
     def work(rows: pa.Table) -> pa.Table:
         take = lambda name: rows.column(name).to_numpy()
-        node, key, side, lead = take("node"), take("key").astype(np.int64), take("side"), take("lead")
-        bits = np.stack([take(f"f{k}").view(np.uint64) for k in range(words)], 1)
+        # in order of keys, so that the rows about a key and about its ball lie together in memory
+        order = np.argsort(take("key"), kind="stable")
+        node, key, side, lead = (take(c)[order] for c in ("node", "key", "side", "lead"))
+        bits = [take(f"f{k}").view(np.uint64)[order] for k in range(words)]
         # rows of one leader are connected from the start; 0 is none
         label = np.arange(len(node))
         led = np.flatnonzero(lead != 0)
