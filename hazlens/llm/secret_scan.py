@@ -12,23 +12,21 @@ widened to the next joining characters. So a key counts whatever it is joined to
 
 The samples are given as parameters. Those by default are made by rule from a
 fixed seed: random strings over the alphabets that keys are written in, and
-identifiers made of the names in Python's standard modules, joined in the usual
-styles. So training needs no rows and is the same everywhere.
+ordinary runs made of the words in ``NAMES``, joined in the usual styles, and of
+repeated signs. So training needs no rows and is the same everywhere.
 
 Whole texts are read. Defined results: null text counts as empty and has no
-spans; an empty table gives an empty table; in ``redacted`` all other columns
+spans; a null doc_id stays null; repeated rows are all scanned; an empty table
+gives an empty table; ``found`` ignores other columns; in ``redacted`` all other columns
 stay, ``n_chars`` (if there) follows the text, and a null text stays null.
 """
 
 from __future__ import annotations
 
-import builtins
 import hashlib
-import keyword
 import random
 import re
 import string
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,38 +50,57 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Letters that join the names and values of a run.
 JOINS = re.compile(r"[+/_=-]")
-#: A run is only looked at with a digit or with both cases inside: plain words of any language have neither.
-MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 LETTERS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 SAMPLE_SIZE = 4000
 
+# Common words of identifiers, paths and plain text, from which the ordinary samples are made.
+NAMES = """
+account action address after again alert analysis and archive array author base batch before between binary block
+body branch buffer build button cache channel character check client code collection comment company complete
+config connection content context control convert count country create customer data database date default delete
+department description development device different directory download driver email environment error event example
+export factory feature field file filter first folder function general generate government group handler header
+height history house image import index information instance interface international invoice javascript language
+large length level library license line list local location manager market message method model money month name
+national network notification number object office open operation option order output package parameter password path
+payment people person place platform position present previous process product profile program project property
+und nicht werden zwischen gesellschaft rechnung entwicklung versicherung keit ungen arbeit wirtschaft
+recht pflicht kraft fahrt werk zeug haupt dampf schiff schutz wort strasse fleisch gesetz land burg
+les pour dans avec entreprise naissance toujours renseignement ment eaux
+los para como entre desarrollo educacion siempre ciones mente idad
+""".split()
+
 
 def random_strings(n: int = SAMPLE_SIZE, seed: int = 11) -> list[str]:
     """Labelled random strings over the alphabets of keys."""
     rng = random.Random(seed)
-    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    both = lower + upper + digits
+    alphabets = [both, both + "+/", both + "-_", "0123456789abcdef", upper + digits, lower + digits, lower, upper]
     return ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 64))) for _ in range(n)]
 
 
 def ordinary_identifiers(n: int = SAMPLE_SIZE, seed: int = 12) -> list[str]:
-    """Labelled identifiers: names of standard modules and builtins, joined as in code, paths and file names."""
+    """Labelled ordinary runs: words joined as in code, paths, file names and compounds, and rulers of repeated signs."""
     rng = random.Random(seed)
-    names = sorted({w.strip("_").lower() for w in [*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(random), *dir(re)] if len(w.strip("_")) > 1})
+    styles = [
+        "_".join,
+        "-".join,
+        "/".join,
+        "".join,
+        lambda parts: "_".join(parts).upper(),
+        lambda parts: "".join(parts).upper(),
+        lambda parts: "".join(p.capitalize() for p in parts),
+        lambda parts: parts[0] + "".join(p.capitalize() for p in parts[1:]),
+        lambda parts: "-".join(p.capitalize() for p in parts),
+    ]
     out = []
     for _ in range(n):
-        parts = rng.choices(names, k=rng.randint(3, 7))
-        style = rng.randrange(5)
-        if style == 0:
-            word = "_".join(parts)
-        elif style == 1:
-            word = parts[0] + "".join(p.capitalize() for p in parts[1:])
-        elif style == 2:
-            word = "-".join(parts)
-        elif style == 3:
-            word = "/".join(parts)
-        else:
-            word = "".join(p.capitalize() for p in parts)
-        if rng.random() < 0.4:
+        if rng.random() < 0.05:
+            out.append((rng.choice("+/_=-") * rng.randint(1, 3) + rng.choice(["", "", "+", "=", "-", "_"])) * rng.randint(20, 40))
+            continue
+        word = rng.choice(styles)(rng.choices(NAMES, k=rng.randint(3, 8)))
+        if rng.random() < 0.3:
             word += rng.choice(["", "_", "-", "/", "="]) + str(rng.choice([rng.randint(0, 99), rng.randint(1990, 2030), rng.randint(0, 999_999)]))
         out.append(word)
     return out
@@ -141,8 +158,7 @@ class Markov:
             end = m.start() if (m := JOINS.search(s, end)) else len(s)
             if out and begin <= out[-1][1]:
                 begin = out.pop()[0]
-            if MIXED.search(s, begin, end):
-                out.append((begin, end))
+            out.append((begin, end))
         return out
 
 
@@ -172,7 +188,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]], model: Markov) ->
             free.append((at, a))
             at = max(at, b)
         for begin, end in [*free, (at, m.end())]:
-            if end - begin >= WINDOW and MIXED.search(text, begin, end):
+            if end - begin >= WINDOW:
                 out += [(begin + a, 3, begin + b) for a, b in model.stretches(text[begin:end])]
     return out
 
