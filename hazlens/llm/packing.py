@@ -1,12 +1,15 @@
 """Packing of tokenized documents into training sequences of several context sizes.
 
 Hierarchical: a document's whole windows of the longest tier become sequences
-of their own. What is left of it goes to the tier with the least size that
-holds it. Each tier is packed from its longest pieces down, by best fit; gaps
-in long windows take pieces of shorter tiers; what then remains open is filled
-by cutting the shortest pieces, until every window but the last of a group is
-full. The last one is shortened to powers of two. Sequences are then dealt into
-step groups of equal tokens.
+of their own, and what is left of it goes to the tier with the least size that
+holds it. Each tier is packed into windows of its own size, the longest tier
+first: a window begins with the largest piece of its tier, and its gap takes the
+pieces of shorter tiers by best fit. What no whole piece fills is filled by
+cutting one, so every window ends full. Where nothing is left to fill with, the
+windows with the most room are emptied into the others, and what then remains
+becomes a few sequences of powers of two, of which the last is padded.
+Sequences of all tiers are dealt into step groups, the longest first, each to
+the group with the fewest tokens.
 
 All of this happens in the task that tokenized the documents, over groups of
 bounded size, so nothing is shuffled and no group grows with the input. A
@@ -20,8 +23,8 @@ repeated rows are packed as often as they occur; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,119 +38,118 @@ TIERS = (2048, 1024, 512, 256)
 CLOSING_ID = 1
 #: Documents packed together. Bounds memory, and the share of sequences that stay short.
 GROUP_TOKENS = 1 << 22
+#: What is left of a group at last, padded in one sequence.
+SHORT_TAIL = 64
 #: Tokens of one training step, for balancing.
 STEP_TOKENS = 8 * 2048
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+class _Pool:
+    """Pieces (document, start) by their size; the sizes that there are as bits of a number."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, list[tuple[int, int]]] = {}
+        self.sizes = 0
+
+    def add(self, size: int, doc: int, start: int) -> None:
+        self.of.setdefault(size, []).append((doc, start))
+        self.sizes |= 1 << size
+
+    def largest(self, most: int) -> int:
+        """The largest size up to ``most``, 0 if there is none."""
+        return (self.sizes & ((2 << most) - 1)).bit_length() - 1 if self.sizes & ((2 << most) - 1) else 0
+
+    def take(self, size: int) -> tuple[int, int]:
+        found = self.of[size].pop()
+        if not self.of[size]:
+            self.sizes &= ~(1 << size)
+        return found
+
+
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of these lengths.
 
-    Every position of a document is in one piece. All sequences have the length
-    of the longest tier but the last few, whose lengths are powers of two.
+    Every position of a document is in one piece. Every sequence is as long as one
+    of the tiers but the last few, whose lengths are powers of two.
     """
-    window = tiers[0]
+    longest = tiers[0]
     pieces: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    routed: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}
+    pool, sequences = _Pool(), 0
     for doc, n in enumerate(lengths):
-        whole = n // window
-        for k in range(whole):
-            pieces.append((doc, k * window, window, sequences, 0))
+        for start in range(0, n - longest + 1, longest):
+            pieces.append((doc, start, longest, sequences, 0))
             sequences += 1
-        if left := n - whole * window:
-            tier = min(t for t in tiers if t >= left)
-            routed[tier].append((left, doc, whole * window))
-
-    open_windows: list[tuple[int, int]] = []  # (room, sequence), in order
-
-    def put(size: int, doc: int, start: int, room: int, at: int) -> None:
-        pieces.append((doc, start, size, at, window - room))
-        if room > size:
-            insort(open_windows, (room - size, at))
-
-    # longest tier first; the pieces of the shorter tiers fill the gaps of its windows
-    for tier in tiers:
-        for size, doc, start in sorted(routed[tier], reverse=True):
-            at = bisect_left(open_windows, (size, -1))
-            if at < len(open_windows):
-                put(size, doc, start, *open_windows.pop(at))
-            elif tier == window or not open_windows or sum_room(open_windows) < size:
-                put(size, doc, start, window, sequences)
-                sequences += 1
-            else:  # no window has room for it whole: cut it over the roomiest
-                while size:
-                    room, seq = open_windows.pop()
-                    part = min(size, room)
-                    put(part, doc, start, room, seq)
-                    size, start = size - part, start + part
-    return _closed(pieces, open_windows, window)
-
-
-def sum_room(open_windows: list[tuple[int, int]]) -> int:
-    """Room of the roomiest few windows, enough to decide on one piece."""
-    return sum(room for room, _ in open_windows[-64:])
-
-
-def _closed(pieces: list[tuple[int, int, int, int, int]], open_windows: list[tuple[int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
-    """Empty the least filled open windows into the gaps of the others; the last one into powers of two."""
-    if not open_windows:
-        return pieces
-    at_of: dict[int, list[tuple[int, int, int, int, int]]] = {}
-    unfilled = {seq for _, seq in open_windows}
-    full = []
-    for p in pieces:
-        if p[3] in unfilled:
-            at_of.setdefault(p[3], []).append(p)
-        else:
-            full.append(p)
-    order = sorted((room, seq) for room, seq in open_windows)  # the fullest first
-    low, high = 0, len(order) - 1
-    rest: list[tuple[int, int, int]] = []
-    room, seq = order[low]
-    while low < high:
-        if not rest:
-            rest = [(doc, start, size) for doc, start, size, _, _ in at_of.pop(order[high][1])]
-            high -= 1
-            if low > high:
+        if left := n % longest:
+            pool.add(left, doc, n - left)
+    unfilled: list[tuple[int, list[tuple[int, int, int]]]] = []  # room, and (document, start, length) of a window's pieces
+
+    for tier, shorter in zip(tiers, (*tiers[1:], 0)):
+        # of the tier's own pieces no two fit in one window, but for the least tier's
+        while size := pool.largest(tier):
+            if size <= shorter:
                 break
-        doc, start, size = rest.pop()
-        while size and low <= high:
+            held, room = [(*pool.take(size), size)], tier - size
+            while room and (size := pool.largest(min(room, shorter or tier))):
+                held.append((*pool.take(size), size))
+                room -= size
+            if room and (size := pool.largest(shorter or tier)):  # all that is left is larger than the room: cut one
+                doc, start = pool.take(size)
+                held.append((doc, start, room))
+                pool.add(size - room, doc, start + room)
+                room = 0
+            if room:
+                unfilled.append((room, held))
+                continue
+            at = 0
+            for doc, start, size in held:
+                pieces.append((doc, start, size, sequences, at))
+                at += size
+            sequences += 1
+    return _closed(pieces, unfilled, sequences, longest)
+
+
+def _closed(pieces: list, unfilled: list, sequences: int, longest: int) -> list[tuple[int, int, int, int, int]]:
+    """Windows with room are filled from those with the most room; what then remains becomes powers of two."""
+    unfilled.sort(key=lambda w: w[0])
+    rest: list[tuple[int, int, int]] = []
+    low, high = 0, len(unfilled) - 1
+    while low <= high:
+        room, held = unfilled[low]
+        while room and (rest or high > low):
+            if not rest:
+                rest = unfilled[high][1]
+                high -= 1
+            doc, start, size = rest.pop()
             part = min(size, room)
-            at_of[seq].append((doc, start, part, seq, window - room))
-            size, start, room = size - part, start + part, room - part
-            if not room:
-                low += 1
-                if low <= high:
-                    room, seq = order[low]
-        if size:
-            rest.append((doc, start, size))
+            held.append((doc, start, part))
+            room -= part
+            if part < size:
+                rest.append((doc, start + part, size - part))
+        if room:  # the last one
+            rest = held
             break
-    for seq in [s for _, s in order[: high + 1]] if high >= 0 else []:
-        if seq in at_of:
-            kept = at_of.pop(seq)
-            if seq == (order[low][1] if low <= high else None):
-                rest += [(d, s, n) for d, s, n, _, _ in sorted(kept, key=lambda p: p[4])]
-            else:
-                full += kept
-    # what is left is under two windows: sequences of powers of two, the last one padded
-    used = max((p[3] for p in full), default=-1) + 1
-    used = max(used, max((seq for _, seq in order), default=-1) + 1)
+        at = 0
+        for doc, start, size in held:
+            pieces.append((doc, start, size, sequences, at))
+            at += size
+        sequences += 1
+        low += 1
     total = sum(size for _, _, size in rest)
     while total:
-        span = min(window, 1 << (total.bit_length() - 1)) if total > 64 else total
-        fill = 0
-        while fill < span:
+        span = min(longest, 1 << (total.bit_length() - 1)) if total > SHORT_TAIL else total
+        at = 0
+        while at < span:
             doc, start, size = rest.pop()
-            part = min(size, span - fill)
-            full.append((doc, start, part, used, fill))
-            fill += part
+            part = min(size, span - at)
+            pieces.append((doc, start, part, sequences, at))
+            at += part
             if part < size:
                 rest.append((doc, start + part, size - part))
         total -= span
-        used += 1
-    return full
+        sequences += 1
+    return pieces
 
 
 def _packer(path: str, tiers: tuple[int, ...], closing: int, group_tokens: int):
@@ -175,9 +177,13 @@ def _emit(held: list, tiers: tuple[int, ...], part: int, base: int) -> tuple[pa.
     filled: dict[int, int] = {}
     for _, _, n, seq, _ in packed:
         filled[seq] = filled.get(seq, 0) + n
-    # equal tokens a step: the fullest sequences first, each to the step in turn
-    steps = max(1, -(-sum(filled.values()) // STEP_TOKENS))
-    step_of = {seq: (part << 33) + base + (k % steps if k // steps % 2 == 0 else steps - 1 - k % steps) for k, seq in enumerate(sorted(filled, key=lambda s: (-filled[s], s)))}
+    # equal tokens a step: the longest sequences first, each to the step with the fewest tokens
+    steps = [(0, k) for k in range(max(1, -(-sum(filled.values()) // STEP_TOKENS)))]
+    step_of = {}
+    for seq in sorted(filled, key=lambda s: (-filled[s], s)):
+        load, step = heapq.heappop(steps)
+        heapq.heappush(steps, (load + filled[seq], step))
+        step_of[seq] = (part << 33) + base + step
     number = {seq: (part << 33) + base + k for k, seq in enumerate(sorted(filled))}
     columns = list(
         zip(
