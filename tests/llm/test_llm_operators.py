@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -197,6 +198,43 @@ def test_pack_covers_everything_once(lengths):
     assert padding < 2048
 
 
+def filled(pieces):
+    out = collections.Counter()
+    for _, _, n, seq, _ in pieces:
+        out[seq] += n
+    return sorted(out.values(), reverse=True)
+
+
+def test_each_tier_has_windows_of_its_own():
+    """Sequences of every tier, all full; other tiers pack otherwise; short documents stay in one piece with their like."""
+    rng = random.Random(2)
+    lengths = [int(2 ** rng.uniform(4, 12)) for _ in range(4000)]
+    packed = packing.pack(lengths)
+    sizes = collections.Counter(filled(packed))
+    assert all(sizes[t] > 20 for t in packing.TIERS) and sum(n for t, n in sizes.items() if t not in packing.TIERS) <= 8
+    assert filled(packing.pack(lengths, (2048, 256))) != filled(packed) != filled(packing.pack(lengths, (2048,)))
+    assert set(filled(packing.pack(lengths, (2048, 256)))[:-8]) <= {2048, 256}
+    cut = collections.Counter(doc for doc, *_ in packed)
+    assert sum(n > 1 for doc, n in cut.items() if lengths[doc] <= 2048) < 0.4 * len(lengths)
+    total = collections.Counter()
+    for _, _, n, seq, _ in packed:
+        total[seq] += n
+    assert any(n <= 256 for _, _, n, seq, _ in packed if total[seq] == 2048)  # gaps of long windows take short pieces
+
+
+def test_steps_have_equal_tokens(spark):
+    rng = random.Random(3)
+    docs = docs_of(spark, [" ".join(rng.choices(["one", "two", "three"], k=int(2 ** rng.uniform(3, 11)))) for _ in range(400)])
+    rows = packing.packed(docs.coalesce(1), WORDS).collect()
+    tokens, of = collections.Counter(), {}
+    for r in rows:
+        tokens[r.step_group] += r.length
+        of.setdefault(r.sequence_id, set()).add((r.step_group, r.tier))
+    assert len(tokens) > 5 and max(tokens.values()) - min(tokens.values()) <= 512
+    assert all(len(x) == 1 for x in of.values())  # one step and tier a sequence
+    assert {t for x in of.values() for _, t in x} == set(packing.TIERS)
+
+
 def test_packed_documents(spark, messy):
     docs = messy.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = packing.packed(docs, WORDS, group_tokens=5000).collect()
@@ -210,7 +248,14 @@ def test_packed_documents(spark, messy):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
-    assert packing.packed(messy, WORDS).count() >= messy.count()
+    # repeated rows and null ids are packed as often as they occur
+    tokens = lambda t: len(LIBRARY[WORDS].encode(t or "", add_special_tokens=False).ids) + 1
+    got, want = collections.Counter(), collections.Counter()
+    for r in packing.packed(messy, WORDS).collect():
+        got[r.doc_id] += r.length
+    for d in messy.collect():
+        want[d.doc_id] += tokens(d.text)
+    assert got == want
     assert packing.packed(messy.limit(0), WORDS).count() == 0
 
 
@@ -517,6 +562,93 @@ def test_failing_matches_take_up_their_text():
     assert secret_scan.base_spans("password: token: abcdefgh") == []
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+@pytest.mark.parametrize("size", [20, 32])
+def test_random_strings_of_any_case_are_found(letters, size):
+    model, rng = secret_scan.default_model(), random.Random(size)
+    keys = ["".join(rng.choices(letters, k=size)) for _ in range(400)]
+    assert np.mean([secret_scan.random_spans(k, [], model) == [(0, 3, size)] for k in keys]) >= 0.97
+
+
+def test_words_and_rulers_are_left_alone():
+    model = secret_scan.default_model()
+    plain = ["Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "electroencefalografista", "internationalization_of_software", "-" * 40, "=" * 300, "/" * 25, "-=" * 20, "AVERYLONGCONSTANTNAMEINCAPITALS", "thisisalonghashtagofplainwords", "docs/reference/getting-started/installation"]
+    assert not [x for x in plain if secret_scan.random_spans(x, [], model)]
+
+
+def base_by_hand(text):
+    """The base spans by going over the text letter by letter."""
+    low, high, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def upto(at, letters):
+        while at < len(text) and text[at] in letters:
+            at += 1
+        return at
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(chr(ord(c) + 32) if c in high else c for c in text[at : at + len(name)]) == name:
+                k = at + len(name)
+                k += text[k : k + 1] in ("'", '"')
+                k = upto(k, " ")
+                if text[k : k + 1] not in (":", "="):
+                    continue
+                k = upto(k + 1, " ")
+                k += text[k : k + 1] in ("'", '"')
+                end = upto(k, low + high + digit + "+/_.=-")
+                if end > k:
+                    return end, end - k >= 6
+        return None
+
+    def run(at, head, letters, least):
+        if not text.startswith(head, at):
+            return None
+        end = upto(at + len(head), letters)
+        return (end, end - at >= least) if end > at + len(head) or not head and end > at else None
+
+    out = []
+    for kind, match in enumerate([assign, lambda at: run(at, "AKIA", high + digit, 20), lambda at: run(at, "", digit + "abcdef", 24)]):
+        at = 0
+        while at < len(text):
+            found = match(at)
+            if found and found[1]:
+                out.append((at, kind, found[0]))
+            at = found[0] if found else at + 1
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Passwd", "SECRET", "token", "api_key", "apiKey", " ", "=", ":", "'", '"', "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "zz", ".", "é", "\n", "+/_-", "\t", "\u212a"]), max_size=14).map("".join))
+def test_base_spans_against_brute_force(text):
+    assert secret_scan.base_spans(text) == base_by_hand(text)
+
+
+def test_columns_of_the_scan_against_brute_force(spark):
+    """Every column of the query over whole texts of the fixtures, and spans by plain loops over the model's table."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the fixture tables")
+    docs, model = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), secret_scan.default_model()
+    keys = spark.createDataFrame([(-1, "qzvkxwpjrmgtbhfdcylsn and /usr/local/share/applications/default"), (-2, "x" * 50 + " QZVKXWPJRMGTBHFDCYLSN token: abcdefg"), (None, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.found(docs.select("doc_id", "text").unionByName(keys)).collect()}
+    random_runs = 0
+    for d in docs.select("doc_id", "text").unionByName(keys).collect():
+        base = base_by_hand(d.text or "")
+        row, names = got[d.doc_id], ("assign", "access", "hex")
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        told = [f"{names[k]}:{a}:{b}" for a, k, b in base]
+        assert row.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert set(told) <= set(row.spans.split(",")) | {""}
+        for kind, a, b in (x.split(":") for x in row.spans.split(",") if x.startswith("random")):
+            part, before, total = d.text[int(a) : int(b)], len(secret_scan.LETTERS), 0.0
+            for c in part:
+                at = secret_scan.LETTERS.index(c)
+                total, before = total + model.ratio[before, at], at
+            assert total / len(part) > 0
+            random_runs += 1
+        assert row.n_random == row.spans.count("random:")
+    assert random_runs >= 2 and got[-1].spans.startswith("random:0:21") and "random:51:72" in got[-2].spans and "assign" in got[-2].spans
+
+
 def test_secrets_of_messy_tables(spark, messy):
     assert secret_scan.found(messy).count() == messy.count()
     done = secret_scan.redacted(messy)
