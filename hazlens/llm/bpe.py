@@ -297,6 +297,11 @@ class ByteCoder:
         self.runs, self.words = runs.Memo(), runs.Memo()
         self.odd: set[str] = set()
 
+    @staticmethod
+    def fold(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that give the same ids, with fewer distinct runs, and where to cut them as well."""
+        return data, edges(data, False)
+
     def pre_split(self, run: str) -> list[str]:
         if run.isalpha() or run[:1] == " " and run[1:].isalpha():
             return [run]
@@ -322,7 +327,7 @@ class ByteCoder:
         data, at = runs.flat(texts)
         if self.cut and (hits := special_texts(data, at, self.special)):
             return self._with_special(texts, hits)
-        names, codes, first, self.odd = distinct_whole(data, at)
+        names, codes, first, self.odd = distinct_whole(data, at, self.fold)
         values, ends = self.runs.take(self.runs.codes(names, self._runs)[codes])
         return values, ends[first]
 
@@ -384,17 +389,35 @@ def exotic(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(two | (data >= 0x1C) & (data <= 0x1F))
 
 
-def distinct_whole(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, set[str]]:
-    """:func:`runs.distinct`, but a text with exotic white space is one run; those runs come last."""
+#: Classes of bytes: white space and bytes of other alphabets 0, letters 1, digits 2, other signs 3, the apostrophe 4.
+KINDS = np.array([0 if k in b"\t\n\v\f\r \x1c\x1d\x1e\x1f" or k > 127 else 1 if chr(k).isalpha() else 2 if chr(k).isdigit() else 4 if chr(k) == "'" else 3 for k in range(256)], np.uint8)
+
+
+def edges(data: np.ndarray, each_digit: bool) -> np.ndarray:
+    """Where letters, digits and other signs of ASCII meet. No word of a pre-tokenizer used here crosses such a
+    place, but for an apostrophe and the letters after it; so the parts are split as the whole is."""
+    kind, out = KINDS[data], np.zeros(len(data), bool)
+    left, right = kind[:-1], kind[1:]
+    out[1:] = (left > 0) & (right > 0) & (left != 4) & ((left != right) & ~((left == 3) & (right == 4)) | each_digit & (left == 2))
+    return out
+
+
+def distinct_whole(data: np.ndarray, at: np.ndarray, fold) -> tuple[list[str], np.ndarray, np.ndarray, set[str]]:
+    """:func:`runs.distinct` of folded bytes, but a text with exotic white space is one run; those runs come last."""
     odd = np.unique(np.searchsorted(at, exotic(data), side="right") - 1)
+
+    def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        folded, more = fold(data)
+        return runs.distinct(folded, at, more)
+
     if not len(odd):
-        return *runs.distinct(data, at), set()
+        return *distinct(data, at), set()
     names: dict[str, int] = {}
     whole: set[str] = set()
     codes, first, k = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
     for stop in [*odd.tolist(), len(at) - 1]:
         if k < stop:
-            n, c, f = runs.distinct(data[at[k] : at[stop]], at[k : stop + 1] - at[k])
+            n, c, f = distinct(data[at[k] : at[stop]], at[k : stop + 1] - at[k])
             codes.append(np.array([names.setdefault(x, len(names)) for x in n], np.int64)[c] if len(n) else c)
             first.append(f[1:] + first[-1][-1])
         if stop < len(at) - 1:
@@ -427,6 +450,13 @@ class WordCoder(ByteCoder):
         super().__init__(path)
         self.library, self.letters = Tokenizer.from_file(path), byte_letters()
 
+    @staticmethod
+    def fold(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # letters that nothing can be composed with are lower-cased here
+        big = (data >= 65) & (data <= 90)
+        big[:-1] &= data[1:] < 128
+        return np.where(runs.SPACE[data], np.uint8(32), np.where(big, data | 32, data)), edges(data, True)
+
     def pre_split(self, run: str) -> list[str]:
         run = run.strip(" \t\n\v\f\r") if run not in self.odd else run
         if not run:
@@ -439,10 +469,9 @@ class WordCoder(ByteCoder):
         return [bytes(self.letters[c] for c in word).decode() for word, _ in found]
 
 
-@lru_cache(2)
 def coder(path: str, kind: type[ByteCoder] = ByteCoder) -> ByteCoder:
     """One coder a worker process."""
-    return kind(path)
+    return runs.held(path, lambda: kind(path))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -493,14 +522,14 @@ def _decoded(path: str):
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of each whole text."""
-    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_encoded(path), "doc_id long, ids array<int>")
+    return runs.mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _encoded(path), "doc_id long, ids array<int>", path)
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id and the text of each list of ids."""
-    return tokens.select("doc_id", "ids").mapInArrow(_decoded(path), "doc_id long, text string")
+    return runs.mapped(tokens.select("doc_id", "ids"), _decoded(path), "doc_id long, text string", path)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """What encoding each whole text and decoding it again gives, as counts and hashes."""
-    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_digests(path), SCHEMA)
+    return runs.mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _digests(path), SCHEMA, path)

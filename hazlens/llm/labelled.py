@@ -14,12 +14,22 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text, lang and label of at most ``rows`` labelled rows outside the held-out fold.
+    """doc_id, text, lang, label and h, a hash of the text, of the rows of at most ``rows`` labelled documents
+    outside the held-out fold.
 
-    The rows are those of the least hashes, the same on every run; their number bounds
-    the broadcast.
+    The documents are those of the least hashes of doc_id, the same on every run; their number
+    bounds the broadcast. A doc_id with several labels has the least of them. One that several rows
+    have is still here with each; :func:`one_a_document` takes what was made of one of them.
     """
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.cast("string").alias("lang"), F.xxhash64("text").alias("h")).join(F.broadcast(chosen), "doc_id")
+
+
+def one_a_document(made: DataFrame) -> DataFrame:
+    """One row of each doc_id, that of the least (h, lang), without h."""
+    kept = [c for c in made.columns if c not in ("doc_id", "h")]
+    first = F.struct("h", *(c for c in kept if c == "lang"))
+    return made.groupBy("doc_id").agg(F.min_by(F.struct(*kept), first).alias("r")).select("doc_id", "r.*")

@@ -200,4 +200,4 @@ def _emit(held: list, tiers: tuple[int, ...], part: int, base: int) -> tuple[pa.
 
 def packed(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, closing_id: int = CLOSING_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per piece. ``tiers`` falls from the longest window; each is half or less of the one before."""
-    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_packer(tokenizer_path, tuple(tiers), closing_id, group_tokens), SCHEMA)
+    return runs.mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _packer(tokenizer_path, tuple(tiers), closing_id, group_tokens), SCHEMA, tokenizer_path)

@@ -8,12 +8,15 @@ log densities (half the Mahalanobis distances and log determinants, and the
 prior), on a slope fitted to the training rows, since such densities are far too
 sure of themselves.
 
-Training collects the statistics of at most ``TRAIN_ROWS`` labelled rows.
+Training collects the statistics of at most ``TRAIN_ROWS`` labelled documents, one row
+of each doc_id.
 Scoring reads whole texts and nothing but texts.
 
 Defined results: a null or empty text is scored as a text of no words; with no
 labelled rows, or one class only, every score is the share of label 1 (0.5
-without any); an empty table gives an empty table.
+without any); rows with a null doc_id are scored but never learned from; repeated
+rows are all scored; an empty table gives an empty table; ``scored`` ignores other
+columns, ``accepted`` keeps them.
 """
 
 from __future__ import annotations
@@ -147,12 +150,14 @@ class Discriminant:
 def _labelled_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in runs.pieces(batches, limit=PIECE_BYTES):
         x = statistics(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h", "label")), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "h", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Discriminant:
-    """Densities of ``labels.quality`` from at most ``rows`` rows outside the held-out fold."""
-    got = runs.bounded(labelled.sample(docs, labels, "quality", rows)).mapInArrow(_labelled_statistics, "label int, x array<double>").toArrow()
+    """Densities of ``labels.quality`` from at most ``rows`` documents outside the held-out fold."""
+    made = runs.mapped(labelled.sample(docs, labels, "quality", rows), _labelled_statistics, "doc_id long, h long, label int, x array<double>")
+    # in order of doc_id, so that sums don't depend on which task ends first
+    got = labelled.one_a_document(made).toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), float)
     return Discriminant(x, got.column("label").to_numpy())
 
@@ -166,7 +171,7 @@ def scored(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -
             score = model.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
 
-    out = runs.bounded(rows).mapInArrow(work, "doc_id long, held_out boolean, score double")
+    out = runs.mapped(rows, work, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -177,4 +182,4 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
         for batch in runs.pieces(batches, limit=PIECE_BYTES):
             yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= threshold))
 
-    return runs.bounded(docs).mapInArrow(work, docs.schema)
+    return runs.mapped(docs, work, docs.schema)

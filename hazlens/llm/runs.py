@@ -8,6 +8,7 @@ and each distinct run of a batch is worked on once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,42 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose batches between the JVM and Python are bounded by bytes.
+#: The one large table that a worker process keeps between tasks: (key, table).
+_held: list[tuple[object, object]] = []
 
-    Rows alone don't bound them: ten thousand long texts are hundreds of megabytes, held on both sides.
+
+def held(key: object, make):
+    """The table of ``key``, made once a worker process. Another key's table goes first."""
+    if not _held or _held[0][0] != key:
+        _held.clear()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def _tidy(work, keeps: object):
+    """``work`` in a process that other kinds of tasks have used and will use: what they held goes, and freed memory too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _held and _held[0][0] != keeps:
+            _held.clear()
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
+def mapped(df: DataFrame, work, schema, keeps: object = None) -> DataFrame:
+    """``df.mapInArrow(work, schema)`` for rows with texts; keeps: the key of what ``work`` holds.
+
+    Batches between the JVM and Python are bounded by bytes for the session, since rows alone
+    don't bound them: ten thousand long texts are hundreds of megabytes, held on both sides.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+    return df.mapInArrow(_tidy(work, keeps), schema)
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +109,16 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin, end, np.searchsorted(begin, at)
 
 
-def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct runs, the number of each run in order, and each text's first run."""
+def distinct(data: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct runs, the number of each run in order, and each text's first run. more: where to cut as well."""
     if not len(data):
         return [], np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     space = SPACE[data]
     cut = space.copy()
     cut[1:] &= ~space[:-1]
     cut[at[:-1][at[:-1] < at[1:]]] = True
+    if more is not None:
+        cut |= more
     begin = np.flatnonzero(cut)
     offsets = np.append(begin, len(data))
     large = len(data) > 2_000_000_000

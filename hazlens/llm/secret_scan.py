@@ -218,7 +218,7 @@ def _found(model: Markov):
 
 def found(docs: DataFrame, model: Markov | None = None) -> DataFrame:
     """Counts, a digest of the base spans and all spans of each row."""
-    return runs.bounded(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(_found(model or default_model()), SCHEMA)
+    return runs.mapped(docs.selectExpr("cast(doc_id as long) doc_id", "text"), _found(model or default_model()), SCHEMA)
 
 
 def redact(text: str, model: Markov, mark: str) -> str:
@@ -248,4 +248,4 @@ def redacted(docs: DataFrame, model: Markov | None = None, mark: str = "[secret]
                 columns[n] = pc.utf8_length(text).cast(batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return runs.bounded(docs).mapInArrow(work, docs.schema)
+    return runs.mapped(docs, work, docs.schema)

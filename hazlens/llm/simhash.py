@@ -116,7 +116,7 @@ def _fingerprints(width: int, words: int):
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
     """The columns of ``docs`` but text, and f0, f1, ...: 64 bits of the fingerprint each."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return runs.bounded(docs).mapInArrow(_fingerprints(width, words), ", ".join([kept, *(f"f{k} long" for k in range(words))]))
+    return runs.mapped(docs, _fingerprints(width, words), ", ".join([kept, *(f"f{k} long" for k in range(words))]))
 
 
 def _touching(table: DataFrame, probes: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
