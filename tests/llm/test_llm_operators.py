@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hazlens.llm import bpe, components, exact_dedup, line_dedup, neighbours, packing, quality, secret_scan, simhash, toxicity, url_rules
+from hazlens.llm import labelled as labelled_rows
 
 WORDS, BYTES = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, n long, key string, line string"
@@ -299,6 +300,69 @@ def test_toxicity(spark, messy):
     assert {r.score for r in toxicity.scored(messy, toxicity.fit(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_fits_are_bounded_in_documents_and_words(spark):
+    """A doc_id with 500 rows and two labels is one document; words over the bound take no part."""
+    rows = [(1, "word %d" % k, "en") for k in range(500)] + [(k, "good text here" if k % 2 else "bad text there", "en") for k in range(2, 60)]
+    docs = spark.createDataFrame([*rows, (None, "good", "en"), (61, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), *((k, k % 2) for k in range(2, 62))], "doc_id long, toxic int").selectExpr("doc_id", "toxic", "toxic as quality")
+    for made in (docs, docs.orderBy(F.desc("text"))):
+        one = labelled_rows.one_a_document(labelled_rows.sample(made, labels, "toxic", 7).drop("text"))
+        assert one.count() == 7 == one.select("doc_id").distinct().count()
+    one = {r.doc_id: r.label for r in labelled_rows.one_a_document(labelled_rows.sample(docs, labels, "toxic", 100).drop("text")).collect()}
+    assert one.get(1, 0) == 0 and None not in one and all(zlib.crc32(str(k).encode()) % 5 for k in one)
+    model = toxicity.fit(docs, labels, rows=100, words=60)
+    assert model.fitted and not toxicity.fit(docs, labels, words=0).fitted
+    again = toxicity.fit(docs.repartition(5), labels, rows=100, words=60)
+    assert all((a == b).all() for a, b in zip(model.tables, again.tables))
+    assert quality.fit(docs, labels, rows=5).share == quality.fit(docs.repartition(3), labels, rows=5).share
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Scores by plain loops: Mahalanobis distances by solving, determinants by numpy, for a fixed model."""
+    good, bad = ["river", "stone", "walks", "along", "quiet"], ["!!", "BUY", "99", "|"]
+    docs, labels = labelled(spark, good, bad)
+    model = quality.fit(docs, labels)
+    texts = ["river stone walks", "BUY 99 !! |", "", "quiet\nalong quiet 99", "x" * 5000]
+    x = quality.statistics(pa.array(texts))
+    for row, score in zip(x, model.score(x)):
+        z = [(v - c) / s for v, c, s in zip(row, model.center, model.scale)]
+        density = []
+        for mean, inverse, _ in model.classes:
+            factor = np.linalg.inv(inverse)
+            cov, d = factor @ factor.T, np.array(z) - mean
+            density.append(-0.5 * (d @ np.linalg.solve(cov, d) + np.linalg.slogdet(cov)[1]))
+        words = np.expm1(row[0])
+        ratio = min(max((density[1] - density[0]) / 10, -5), 5) * words / (words + quality.FEW_WORDS)
+        assert abs(1 / (1 + np.exp(-(model.slope * ratio + model.shift))) - score) < 1e-6
+
+
+def test_toxic_scores_against_brute_force(spark):
+    """Scores by plain loops over words, filters and their widths, for a fixed model; and the language's own thresholds."""
+    docs, labels = labelled(spark, ["friend", "helps", "kind", "people", "often"], ["grumst", "vileword"])
+    model = toxicity.fit(docs, labels)
+    texts = ["friend helps grumst", "kind people", "", "often " * 30 + "vileword helps", "grumst"]
+    got = toxicity.scored(spark.createDataFrame([(k, t, "en" if k % 2 else "xx") for k, t in enumerate(texts)], "doc_id long, text string, lang string"), model)
+    got = {r.doc_id: r for r in got.collect()}
+    for k, text in enumerate(texts):
+        words = text.lower().split()
+        rows = [[xxhash.xxh64_intdigest(w[:n]) % (1 << toxicity.BITS) for n in toxicity.BEGINNINGS] for w in words]
+        x = [np.concatenate([t[r] for t, r in zip(model.tables, row)]).astype(float) for row in rows]
+        logit, at = float(model.offset[0]), 0
+        for filters, bias in zip(model.filters, model.bias):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for place in range(len(x)):
+                    reach = range(min(len(filters), len(x) - place))
+                    best = max(best, float(bias[f]) + sum(float(x[place + j] @ filters[j][:, f].astype(float)) for j in reach))
+                logit += best * float(model.out[at])
+                at += 1
+        score = 1 / (1 + np.exp(-logit))
+        assert abs(score - got[k].score) < 1e-4
+        assert got[k].predicted == int(got[k].score >= 0.5) and got[k].flagged == (got[k].score >= model.thresholds.get("en" if k % 2 else "xx", 0.5))
+    assert set(model.thresholds) == {"en", "de"}
+    assert toxicity.scored(docs.limit(0), model).count() == 0 and quality.scored(docs.limit(0), quality.fit(docs, labels)).count() == 0
+
+
 # ---- line dedup --------------------------------------------------------------------------
 
 
