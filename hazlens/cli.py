@@ -1,4 +1,4 @@
-"""Command line: ``python -m hazlens.cli score|panels|query``; under spark-submit the master comes from there."""
+"""Command line: ``python -m hazlens.cli train|score|watch|panels|query``; under spark-submit the master comes from there."""
 
 from __future__ import annotations
 
@@ -10,27 +10,56 @@ from pyspark.sql import functions as F
 
 from hazlens import session
 from hazlens.functions.lexicon import SAFETY
-from hazlens.operators import tagging
+from hazlens.operators import classify, evaluate, tagging
 from hazlens.plans import dashboard
 from hazlens.sources import reports, sinks
+from hazlens.streaming import feeds
 
 
-def main(argv: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="hazlens", description="Safety-report analytics on Spark.")
     parser.add_argument("--master", help="Spark master; leave out under spark-submit")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, text in (("score", "class, rules and evidence of every report"), ("panels", "the tables of the dashboard")):
+    told = {
+        "train": "fit a classifier on labelled reports, judge it on a fold it never saw, and store it",
+        "score": "class, score, rules and evidence of every report",
+        "watch": "the same scores for reports as they arrive",
+        "panels": "the tables of the dashboard",
+    }
+    for name, text in told.items():
         sub = commands.add_parser(name, help=text)
         sub.add_argument("input")
         sub.add_argument("output")
         sub.add_argument("--format", default="parquet", help="of the input: parquet, csv, json")
-        sub.add_argument("--to", default="parquet", help="of the output")
+        if name == "train":
+            sub.add_argument("--label", default="sif_label")
+        else:
+            sub.add_argument("--model", help="a folder that train wrote; without one the rule of energy and failed control decides")
+            sub.add_argument("--threshold", type=float, default=0.5)
+            sub.add_argument("--to", default="parquet", help="of the output")
+        if name == "panels":
+            sub.add_argument("--split", help="the day between past and present, for drift")
+            sub.add_argument("--clusters", type=int, default=0, help="how many groups of reports by their words")
+        if name == "watch":
+            sub.add_argument("--checkpoint", required=True)
+            sub.add_argument("--every", help="such as '1 minute'; without it what is there now is worked through")
     sub = commands.add_parser("query", help="one registered query over a data folder")
     sub.add_argument("name")
     sub.add_argument("folder")
-    args = parser.parse_args(argv)
-    spark = session.build(args.master)
+    return parser
+
+
+def _train(rows, label: str, output: str) -> None:
+    rows = rows.where(F.col(label).isNotNull() & F.col("narrative").isNotNull())
+    held = classify.fold(F.xxhash64("report_id")) == 0
+    model = classify.Ensemble.fit(rows.where(~held), label)
+    evaluate.scores(model.score(rows.where(held)), label, "sif_pred").coalesce(1).write.mode("overwrite").json(f"{output}/held_out")
+    model.save(output)
+
 
+def main(argv: list[str] | None = None) -> int:
+    args = _parser().parse_args(argv)
+    spark = session.build(args.master)
     if args.command == "query":
         from hazlens.plans import catalogue
 
@@ -39,13 +68,26 @@ def main(argv: list[str] | None = None) -> int:
             known |= importlib.import_module("__spark_entry__").queries()
         known[args.name](spark, args.folder).show(50, truncate=80)
         return 0
-    rows = dashboard.prepared(reports.read(spark, args.input, args.format))
+    if args.command == "train":
+        _train(reports.read(spark, args.input, args.format), args.label, args.output)
+        return 0
+    model = classify.Ensemble.load(args.model) if args.model else None
+    if args.command == "watch":
+        rows = dashboard.prepared(reports.stream(spark, args.input, fmt=args.format), model=model, threshold=args.threshold)
+        trigger = {"processingTime": args.every} if args.every else None
+        feeds.start(rows, args.checkpoint, args.output, trigger=trigger, fmt=args.to).awaitTermination()
+        return 0
+    rows = dashboard.prepared(reports.read(spark, args.input, args.format), model=model, threshold=args.threshold)
     if args.command == "score":
-        sinks.export(rows.withColumn("rules", F.array_join("rules", ",")).drop("lsr_labels"), f"{args.output}/scores", args.to)
+        flat = rows.withColumn("rules", F.array_join("rules", ",")).drop("lsr_labels")
+        sinks.export(flat, f"{args.output}/scores", args.to)
         sinks.export(tagging.evidence(rows, SAFETY), f"{args.output}/evidence", args.to)
-    else:
-        for name, panel in dashboard.panels(rows).items():
-            sinks.export(panel, f"{args.output}/{name}", args.to, one_file=True)
+        return 0
+    found = dashboard.panels(rows, split=args.split)
+    if args.clusters:
+        found["clusters"] = dashboard.cluster_panel(rows, args.clusters).withColumn("terms", F.array_join("terms", " "))
+    for name, panel in found.items():
+        sinks.export(panel, f"{args.output}/{name}", args.to, one_file=True)
     return 0
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, NGram, OneHotEncoder, RegexTokenizer, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,7 +43,7 @@ def soft_vote(members: list[Column], weights: list[float] | None = None) -> Colu
 def features(text: str = "narrative", categories: tuple[str, ...] = (), size: int = 1 << 12) -> list:
     """Stages of a union of sparse features: weighted words, pairs of words and one-hot categories, in ``features``."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\s+"),
+        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[^\p{L}\p{N}]+"),
         StopWordsRemover(inputCol="__words", outputCol="__kept"),
         NGram(n=2, inputCol="__kept", outputCol="__pairs"),
         HashingTF(inputCol="__kept", outputCol="__tf", numFeatures=size),
@@ -72,8 +74,19 @@ class Ensemble:
         stages = [*features(text, categories), *(_member(m, label, seed) for m in members)]
         return cls(Pipeline(stages=stages).fit(rows), members, weights)
 
+    def save(self, path: str) -> None:
+        """The fitted stages in ``path``/stages and what the vote needs beside them in ``path``/vote."""
+        self.model.write().overwrite().save(f"{path}/stages")
+        vote_of = json.dumps({"members": list(self.members), "weights": self.weights})
+        SparkSession.active().createDataFrame([(vote_of,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/vote")
+
+    @classmethod
+    def load(cls, path: str) -> Ensemble:
+        vote_of = json.loads(SparkSession.active().read.text(f"{path}/vote").first().value)
+        return cls(PipelineModel.load(f"{path}/stages"), tuple(vote_of["members"]), vote_of["weights"])
+
     def score(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-        """``rows`` with sif_score, sif_pred and each member's probability."""
+        """``rows``, a table or a stream, with sif_score, sif_pred and each member's probability."""
         out = self.model.transform(rows)
         out = out.withColumns({f"p_{m}": vector_to_array(f"__{m}_p")[1] for m in self.members})
         out = out.withColumn("sif_score", soft_vote([F.col(f"p_{m}") for m in self.members], self.weights))
@@ -103,6 +116,45 @@ class MultiOutput:
         return out.select(key, F.explode(scores).alias("s")).select(key, "s.rule_id", "s.score")
 
 
+class TokenBayes:
+    """A Bernoulli classifier by the log odds of a report's distinct words, as two tables; fitted and applied by plain aggregation.
+
+    weights: (term, weight), and (null, w) for the prior. A word that training never had counts nothing.
+    """
+
+    def __init__(self, weights: DataFrame) -> None:
+        self.weights = weights
+
+    @classmethod
+    def fit(cls, rows: DataFrame, label: str, words: Column, least: int = 2) -> TokenBayes:
+        y = F.col(label) == 1
+        sizes = rows.agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))  # one row
+        terms = rows.select(F.explode(F.array_distinct(words)).alias("term"), y.alias("y")).groupBy("term").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n")).where(F.col("p") + F.col("n") >= least)
+        odds = F.log((F.col("p") + 1) / (F.col("pos") + 2)) - F.log((F.col("n") + 1) / (F.col("neg") + 2))
+        prior = sizes.select(F.lit(None).cast("string").alias("term"), F.log((F.col("pos") + 1) / (F.col("neg") + 1)).alias("weight"))
+        return cls(terms.crossJoin(F.broadcast(sizes)).select("term", odds.alias("weight")).unionByName(prior))
+
+    def score(self, rows: DataFrame, key: str, words: Column) -> DataFrame:
+        """(key, log_odds) of every row."""
+        asked = rows.select(key, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct(words), F.array().cast("array<string>")))).alias("term"))
+        met = asked.join(self.weights.withColumnRenamed("term", "__term"), F.col("term").eqNullSafe(F.col("__term")))
+        return met.groupBy(key).agg(F.sum("weight").alias("log_odds"))
+
+
+def tuned(rows: DataFrame, label: str, penalties: list[float], text: str = "narrative", folds: int = 3, seed: int = 1):
+    """The best of a grid of penalties by cross-validation on the area under the precision-recall curve: (model, metric of each)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    head = LogisticRegression(labelCol=label, featuresCol="features", maxIter=20)
+    grid = ParamGridBuilder().addGrid(head.regParam, penalties).build()
+    search = CrossValidator(estimator=head, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR"), numFolds=folds, seed=seed)
+    # features don't depend on the grid, so they are made once
+    shared = Pipeline(stages=features(text)).fit(rows)
+    found = search.fit(shared.transform(rows).select("features", label))
+    return PipelineModel([*shared.stages, found.bestModel]), dict(zip(penalties, found.avgMetrics))
+
+
 def ridge(rows: DataFrame, target: str, penalty: float = 0.1, text: str = "narrative", categories: tuple[str, ...] = ()) -> PipelineModel:
     """A continuous score with a squared penalty, in ``severity_score``."""
     head = LinearRegression(labelCol=target, featuresCol="features", predictionCol="severity_score", elasticNetParam=0.0, regParam=penalty, standardization=False)

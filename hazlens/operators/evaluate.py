@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hazlens.operators import monitor
+
 
 def _f1(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [
@@ -48,6 +50,14 @@ def calibration(rows: DataFrame, label: str, score: str, bins: int = 10) -> Data
     return rows.groupBy(at).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("observed"))
 
 
+def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """Area under the ROC curve, in ``auc``; ties count half. Scores are counted first."""
+    counts = rows.groupBy(F.col(score).alias("v")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).where(F.col("v").isNotNull())
+    ranked = monitor.running(counts, "v", ["p", "n"])
+    won = F.sum(F.col("p") * (F.col("before_n") + F.col("n") / 2.0))
+    return ranked.agg(F.try_divide(won, F.max("all_p").cast("double") * F.max("all_n")).alias("auc"))
+
+
 def sweep(rows: DataFrame, label: str, score: str, thresholds: list[float]) -> DataFrame:
     """Precision and recall at each threshold, in one pass over the rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EMPTY = 1e-6
@@ -10,7 +10,13 @@ EMPTY = 1e-6
 
 def stability(old: DataFrame, new: DataFrame, bin: str) -> DataFrame:
     """Population stability index of each bin: (q - p) ln(q / p), with a small share for bins that one side lacks. Their sum is the index."""
-    share = lambda df, name: df.groupBy(bin).agg(F.count("*").alias("n")).select(bin, (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias(name))
+
+
+    def share(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy(bin).agg(F.count("*").alias("n"))
+        total = counts.agg(F.sum("n").alias("all"))  # one row
+        return counts.crossJoin(F.broadcast(total)).select(bin, (F.col("n") / F.col("all")).alias(name))
+
     both = share(old, "p").join(share(new, "q"), bin, "outer").select(bin, F.coalesce("p", F.lit(EMPTY)).alias("p"), F.coalesce("q", F.lit(EMPTY)).alias("q"))
     return both.withColumn("psi", (F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p")))
 
@@ -28,20 +34,40 @@ def health(rows: DataFrame, ts: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns))
 
 
-def two_sample_ks(old: DataFrame, new: DataFrame, value: str) -> DataFrame:
-    """The largest distance between two empirical distributions, in ``ks``.
+def running(counts: DataFrame, at: str, columns: list[str]) -> DataFrame:
+    """``counts`` with before_* and all_* of each column: its sum over the rows with a smaller ``at``, and over all rows.
 
-    Values are counted first; running sums go over ranges of values, each range summed by itself
-    and moved by the totals before it, so no task sees all rows.
+    ``at`` is distinct. Each range of values is summed by itself and moved by the totals of those
+    before it, so no task sees all rows.
     """
+    ranged = counts.repartitionByRange(at).withColumn("__part", F.spark_partition_id())
+    parts = ranged.groupBy("__part").agg(*(F.sum(c).alias(c) for c in columns))
+    # as many rows as there are ranges
+    before, whole = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
+    shift = parts.select("__part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in columns), *(F.sum(c).over(whole).alias(f"all_{c}") for c in columns))
+    inside = Window.partitionBy("__part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.join(F.broadcast(shift), "__part")
+    return rows.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__before_{c}") for c in columns}).drop("__part", *(f"__before_{c}" for c in columns))
+
+
+def two_sample_ks(old: DataFrame, new: DataFrame, value: str) -> DataFrame:
+    """The largest distance between two empirical distributions, in ``ks``. Values are counted first."""
     counts = old.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(new.select(F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where(F.col("v").isNotNull())
-    counts = counts.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    parts = ranged.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    shift = parts.select("part", *(F.coalesce(F.sum(p).over(before), F.lit(0)).alias(f"{p}0") for p in ("pa", "pb")), *(F.sum(p).over(whole).alias(f"{p}n") for p in ("pa", "pb")))
-    inside = Window.partitionBy("part").orderBy("v")
-    rows = ranged.join(F.broadcast(shift), "part")
-    gap = F.abs((F.sum("a").over(inside) + F.col("pa0")) / F.col("pan") - (F.sum("b").over(inside) + F.col("pb0")) / F.col("pbn"))
+    rows = running(counts.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "v", ["a", "b"])
+    gap = F.abs((F.col("before_a") + F.col("a")) / F.col("all_a") - (F.col("before_b") + F.col("b")) / F.col("all_b"))
     return rows.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+
+
+def chi_square(rows: DataFrame, bin: str, is_new: Column) -> DataFrame:
+    """The statistic for equal shares of the bins in old and new rows, and its degrees of freedom."""
+    counts = rows.groupBy(bin).agg(F.count_if(~is_new).cast("double").alias("a"), F.count_if(is_new).cast("double").alias("b"))
+    # with totals by bin, everything is a sum: (o - e)^2 / e = o^2 / e - 2 o + e, and o and e have equal sums
+    sums = counts.withColumn("t", F.col("a") + F.col("b")).agg(*(F.sum(F.col(c) * F.col(c) / F.col("t")).alias(f"s{c}") for c in "ab"), F.sum("a").alias("na"), F.sum("b").alias("nb"), F.count("*").alias("bins"))
+    n = F.col("na") + F.col("nb")
+    return sums.select((n * (F.col("sa") / F.col("na") + F.col("sb") / F.col("nb")) - n).alias("chi_square"), (F.col("bins") - 1).alias("freedom"))
+
+
+def score_stability(old: DataFrame, new: DataFrame, score: str, bins: int = 10) -> DataFrame:
+    """Population stability index of a model's scores, by bin of the score."""
+    at = lambda df: df.select(F.least(F.floor(F.round(F.col(score) * bins, 6)), F.lit(bins - 1)).cast("long").alias("bin"))
+    return stability(at(old), at(new), "bin")

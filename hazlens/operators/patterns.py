@@ -121,6 +121,13 @@ def frequent(rows: DataFrame, items: str, min_support: float, min_confidence: fl
     return FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=min_confidence).fit(rows)
 
 
+def sequences(rows: DataFrame, sequence: str, min_support: float, longest: int) -> DataFrame:
+    """(sequence, freq): what follows what in at least this share of the rows."""
+    from pyspark.ml.fpm import PrefixSpan
+
+    return PrefixSpan(sequenceCol=sequence, minSupport=min_support, maxPatternLength=longest).findFrequentSequentialPatterns(rows)
+
+
 def clusters(rows: DataFrame, features: str, k: int, seed: int = 1) -> DataFrame:
     """``rows`` with cluster_id."""
     from pyspark.ml.clustering import KMeans

@@ -43,8 +43,8 @@ def _spans(rule_id: str, found: Column, between: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(1).alias("at"), F.array().cast(SPAN).alias("out")), step)["out"]
 
 
-def evidence(reports: DataFrame, lexicon: list[Entry], key: str = "report_id", text: str = "narrative", around: int = 20) -> DataFrame:
-    """(key, rule_id, start, length, snippet, context) of every match; start counts from 1.
+def evidence(reports: DataFrame, lexicon: list[Entry], key: str = "report_id", text: str = "narrative", around: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, rule_id, start, length, snippet, context) of every match, and the columns ``keep``; start counts from 1.
 
     Always substring(text, start, length) = snippet.
     """
@@ -55,10 +55,10 @@ def evidence(reports: DataFrame, lexicon: list[Entry], key: str = "report_id", t
         lists[f"__m{k}"] = F.regexp_extract_all(t, F.lit(e.pattern), F.lit(1))
         lists[f"__b{k}"] = F.split(t, e.pattern, -1)
     spans = [_spans(e.rule_id, F.col(f"__m{k}"), F.col(f"__b{k}")) for k, e in enumerate(lexicon)]
-    hits = reports.where(F.size(rules_of(t, lexicon)) > 0).select(key, t.alias("__text"), *(c.alias(n) for n, c in lists.items()))
-    rows = hits.select(key, "__text", F.explode(F.flatten(F.array(*spans))).alias("e")).select(key, "__text", "e.*")
+    hits = reports.where(F.size(rules_of(t, lexicon)) > 0).select(key, *keep, t.alias("__text"), *(c.alias(n) for n, c in lists.items()))
+    rows = hits.select(key, *keep, "__text", F.explode(F.flatten(F.array(*spans))).alias("e")).select(key, *keep, "__text", "e.*")
     low = F.greatest(F.col("start") - around, F.lit(1))
-    return rows.select(key, "rule_id", "start", "length", "snippet", F.substring("__text", low, F.col("start") + F.col("length") + around - low).alias("context"))
+    return rows.select(key, *keep, "rule_id", "start", "length", "snippet", F.substring("__text", low, F.col("start") + F.col("length") + around - low).alias("context"))
 
 
 def highlighted(text: Column, lexicon: list[Entry], mark: str = "mark") -> Column:
@@ -69,8 +69,9 @@ def highlighted(text: Column, lexicon: list[Entry], mark: str = "mark") -> Colum
     return out
 
 
-def untagged(reports: DataFrame, tagged: DataFrame, key: str = "report_id") -> DataFrame:
-    return reports.join(tagged, key, "left_anti")
+def untagged(reports: DataFrame, lexicon: list[Entry], text: str = "narrative") -> DataFrame:
+    """Reports that no rule applies to, judged in the scan."""
+    return reports.where(F.size(rules_of(F.col(text), lexicon)) == 0)
 
 
 def with_model_only(tagged: DataFrame, scores: DataFrame, threshold: float = 0.5, key: str = "report_id") -> DataFrame:

@@ -9,7 +9,6 @@ precision and recall on them test arithmetic, not judgement.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,28 +16,15 @@ from pyspark.sql import functions as F
 from hazlens.functions import lexicon as lex
 from hazlens.functions import text as words_of
 from hazlens.operators import classify, dedup, evaluate, monitor, patterns, tagging
+from hazlens.plans import relational  # noqa: F401  (registers its queries)
+from hazlens.plans.registry import ORACLE, QUERIES, query
 from hazlens.session import shared_folder, table
 from hazlens.sources import reports
 from hazlens.streaming import feeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
 SPLIT_DAY = "2024-01-16"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -134,9 +120,11 @@ def text_stats(spark, sf_dir):
 def tfidf_top_terms(spark, sf_dir):
     """The ten heaviest terms of each category."""
     docs = _docs(spark, sf_dir)
-    # counts inside a document first: a term then crosses the exchange once a document and task, not once a use
-    inside = docs.select("doc_id", "lang", F.explode(words_of.tokens(F.col("text"))).alias("term")).groupBy("lang", "term", "doc_id").agg(F.count("*").alias("c"))
-    tf = inside.groupBy("lang", "term").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    # a document is one row, so its uses and its distinct terms are counted side by side and meet in one exchange
+    uses = lambda words, tf, df: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+    words = docs.select("lang", words_of.tokens(F.col("text")).alias("w"))
+    terms = words.select("lang", F.explode(F.concat(uses(F.col("w"), 1, 0), uses(F.array_distinct("w"), 0, 1))).alias("u"))
+    tf = terms.groupBy("lang", F.col("u.term").alias("term")).agg(F.sum("u.tf").alias("tf"), F.sum("u.df").alias("df"))
     sizes = docs.groupBy("lang").agg(F.count("*").alias("docs"))
     weight = F.round(F.col("tf") * F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)), 6)
     scored = tf.join(sizes, "lang").select("lang", "term", "tf", "df", weight.alias("weight"))
@@ -258,8 +246,7 @@ def rule_taxonomy(spark, sf_dir):
 
 @query(f"WITH {_TAGS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tags)")
 def untagged_reports(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return tagging.untagged(docs.select("doc_id"), tagging.tags(docs, lex.FIXTURE, "doc_id", "text"), "doc_id")
+    return tagging.untagged(_docs(spark, sf_dir), lex.FIXTURE, "text").select("doc_id")
 
 
 # ---- evaluation ----------------------------------------------------------------------
@@ -370,8 +357,8 @@ def filtered_drillthrough(spark, sf_dir):
     """From one cell (site src3, rule R2) to its reports and their evidence."""
     rows = tagging.with_rules(_docs(spark, sf_dir), lex.FIXTURE, "text")
     cell = patterns.Filters(equal={"lang": ["en", "de"]}, rules=("R2",)).cell(source="src3").apply(rows)
-    found = tagging.evidence(cell, [e for e in lex.FIXTURE if e.rule_id == "R2"], "doc_id", "text")
-    return found.join(cell.select("doc_id", "source"), "doc_id").select("doc_id", "source", "rule_id", F.col("start").cast("long").alias("start"), "snippet")
+    found = tagging.evidence(cell, [e for e in lex.FIXTURE if e.rule_id == "R2"], "doc_id", "text", keep=("source",))
+    return found.select("doc_id", "source", "rule_id", F.col("start").cast("long").alias("start"), "snippet")
 
 
 def _located_orders(spark, sf_dir):
@@ -531,15 +518,21 @@ def _stream(spark, sf_dir):
     return feeds.events(spark, _glob(sf_dir, "events"))
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
     """The batch twin's rows."""
-    return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir)), _folder(spark), "complete")
+    out = feeds.run_now(feeds.tumbling(_stream(spark, sf_dir)), _folder(spark), "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""
+    SELECT time_bucket(INTERVAL 6 HOUR, ts)::TIMESTAMP - k * INTERVAL 6 HOUR AS window_start, event_type, count(*) AS n
+    FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL
+""")
 def stream_sliding(spark, sf_dir):
-    return feeds.run_now(feeds.tumbling(_stream(spark, sf_dir), width="1 day", slide="6 hours"), _folder(spark), "complete")
+    """Days that begin every six hours."""
+    out = feeds.run_now(feeds.tumbling(_stream(spark, sf_dir), width="1 day", slide="6 hours"), _folder(spark), "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT DISTINCT event_id, ts, user_id, event_type FROM events")
@@ -548,13 +541,29 @@ def stream_dedup(spark, sf_dir):
     return out.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
 
 
-@query()
+@query("""
+    WITH g AS (SELECT user_id, ts, coalesce(ts > lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS turn FROM g)
+    SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM s GROUP BY user_id, turn
+""")
 def stream_session(spark, sf_dir):
-    return feeds.run_now(feeds.sessions(_stream(spark, sf_dir)), _folder(spark), "complete")
+    out = feeds.run_now(feeds.sessions(_stream(spark, sf_dir)), _folder(spark), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query()
+@query("""
+    SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b
+    ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'error' AND b.event_type = 'purchase'
+""")
+def stream_stream_join(spark, sf_dir):
+    """Purchases within six hours of an error of the same user, both as streams."""
+    kind = lambda name: _stream(spark, sf_dir).where(F.col("event_type") == name)
+    return feeds.run_now(feeds.met_within(kind("error"), kind("purchase"), "user_id", "6 HOURS"), _folder(spark))
+
+
+@query("SELECT user_id AS key, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 10")
 def stream_repeat_alerts(spark, sf_dir):
+    """All events are one batch here, so a user has one alert, with the count it reached."""
     return feeds.run_now(feeds.repeat_alerts(_stream(spark, sf_dir), "user_id", 10), _folder(spark), "update")
 
 
@@ -573,10 +582,93 @@ def _rows(spark, sf_dir):
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").where(classify.fold(F.col("doc_id")) != 0), docs
 
 
+def _ensemble(spark, sf_dir):
+    train, docs = _rows(spark, sf_dir)
+    return classify.Ensemble.fit(train, "toxic", categories=("lang",)), docs
+
+
 @query()
 def ensemble_scores(spark, sf_dir):
-    train, docs = _rows(spark, sf_dir)
-    return classify.Ensemble.fit(train, "toxic", categories=("lang",)).score(docs).select("doc_id", "p_lr", "p_nb", "p_rf", "sif_score", "sif_pred")
+    model, docs = _ensemble(spark, sf_dir)
+    return model.score(docs).select("doc_id", "p_lr", "p_nb", "p_rf", "sif_score", "sif_pred")
+
+
+@query()
+def ensemble_prf1(spark, sf_dir):
+    """Precision, recall and F1 of the fitted ensemble on the fold that it never saw."""
+    model, docs = _ensemble(spark, sf_dir)
+    held = docs.where(classify.fold(F.col("doc_id")) == 0).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return _ROUND(evaluate.scores(model.score(held, 0.3), "toxic", "sif_pred"), "precision", "recall", "f1")
+
+
+@query()
+def stream_scores(spark, sf_dir):
+    """The ensemble, stored and loaded again, over documents that arrive as a stream."""
+    model, docs = _ensemble(spark, sf_dir)
+    folder = _folder(spark)
+    model.save(f"{folder}/model")
+    stream = spark.readStream.schema(_docs(spark, sf_dir).schema).parquet(_glob(sf_dir, "documents")).select("doc_id", F.col("text").alias("narrative"), "lang")
+    out = feeds.scored(stream, classify.Ensemble.load(f"{folder}/model")).select("doc_id", "sif_score", "sif_pred")
+    return feeds.run_now(out, folder)
+
+
+_BAYES = """
+    d AS (SELECT doc_id, toxic, doc_id % 5 = 0 AS held, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t <> '')) AS ws FROM documents JOIN labels USING (doc_id)),
+    z AS (SELECT count(*) FILTER (toxic = 1) AS pos, count(*) FILTER (toxic <> 1) AS neg FROM d WHERE NOT held),
+    t AS (SELECT term, count(*) FILTER (toxic = 1) AS p, count(*) FILTER (toxic <> 1) AS n FROM (SELECT toxic, unnest(ws) AS term FROM d WHERE NOT held) GROUP BY term HAVING count(*) >= 2),
+    w AS (SELECT term, ln((p + 1) / (pos + 2)) - ln((n + 1) / (neg + 2)) AS weight FROM t, z),
+    u AS (SELECT doc_id, sum(weight) AS s FROM (SELECT doc_id, unnest(ws) AS term FROM d WHERE held) JOIN w USING (term) GROUP BY doc_id),
+    judged AS (SELECT doc_id, toxic, round(coalesce(s, 0) + (SELECT ln((pos + 1) / (neg + 1)) FROM z), 6) AS log_odds FROM d LEFT JOIN u USING (doc_id) WHERE held)
+"""
+
+
+def _bayes(spark, sf_dir):
+    """The held-out labelled documents with the log odds that the other folds teach."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    held, words = classify.fold(F.col("doc_id")) == 0, words_of.tokens(F.col("text"))
+    model = classify.TokenBayes.fit(docs.where(~held), "toxic", words)
+    return docs.where(held).select("doc_id", "toxic").join(_ROUND6(model.score(docs.where(held), "doc_id", words), "log_odds"), "doc_id")
+
+
+_ROUND6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query(f"WITH {_BAYES} SELECT doc_id, toxic, log_odds FROM judged")
+def token_bayes_scores(spark, sf_dir):
+    """A classifier that SQL can fit as well, on the fold that it never saw."""
+    return _bayes(spark, sf_dir)
+
+
+@query(f"WITH {_BAYES}, p AS (SELECT toxic, (log_odds >= 0)::INT AS pred FROM judged), c AS (SELECT {_COUNTS} FROM p) SELECT tp, fp, fn, tn, {_RPRF} FROM c")
+def token_bayes_prf1(spark, sf_dir):
+    judged = _bayes(spark, sf_dir).withColumn("pred", (F.col("log_odds") >= 0).cast("int"))
+    return _ROUND(evaluate.scores(judged, "toxic", "pred"), "precision", "recall", "f1")
+
+
+@query(f"""
+    WITH {_JUDGED}, b AS (SELECT doc_id % 2 AS new, least(floor(round(score * 10, 6)), 9)::BIGINT AS bin FROM judged),
+    o AS (SELECT bin, count(*) / sum(count(*)) OVER () AS p FROM b WHERE new = 0 GROUP BY bin), n AS (SELECT bin, count(*) / sum(count(*)) OVER () AS q FROM b WHERE new = 1 GROUP BY bin)
+    SELECT bin, round(coalesce(p, 1e-6), 9) AS p, round(coalesce(q, 1e-6), 9) AS q, round((coalesce(q, 1e-6) - coalesce(p, 1e-6)) * ln(coalesce(q, 1e-6) / coalesce(p, 1e-6)), 9) AS psi FROM o FULL JOIN n USING (bin)
+""")
+def score_drift(spark, sf_dir):
+    """Whether scores moved: documents with even ids stand for the past, the others for the present."""
+    rows = _judged(spark, sf_dir)
+    return _ROUND(monitor.score_stability(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "score"), "p", "q", "psi")
+
+
+@query()
+def tuned_penalty(spark, sf_dir):
+    """The penalties of a grid with their cross-validated area under the precision-recall curve."""
+    train, _ = _rows(spark, sf_dir)
+    _, found = classify.tuned(train.select("narrative", F.col("toxic").cast("double").alias("toxic")), "toxic", [0.001, 0.1])
+    return spark.createDataFrame([(float(k), float(v)) for k, v in found.items()], "penalty double, area double")
+
+
+@query()
+def sequence_patterns(spark, sf_dir):
+    """Frequent sequences of event types in a user's day."""
+    days = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
+    return patterns.sequences(days.select(F.transform("e", lambda x: F.array(x["event_type"])).alias("sequence")), "sequence", 0.1, 3)
 
 
 @query()
@@ -625,6 +717,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites ranked by precursor density, with their most frequent rule and how many spans of evidence back it."""
     docs = _docs(spark, sf_dir)
     ranked = density_ranking(spark, sf_dir)
-    found = tagging.evidence(docs, lex.FIXTURE, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "rule_id").agg(F.count("*").alias("spans"))
+    found = tagging.evidence(docs, lex.FIXTURE, "doc_id", "text", keep=("source",)).groupBy("source", "rule_id").agg(F.count("*").alias("spans"))
     top = patterns.top_per_group(found, ["source"], [F.desc("spans"), F.col("rule_id")], 1).drop("place")
     return ranked.join(top, "source", "left").orderBy("place")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from hazlens import session
 from hazlens.functions.lexicon import Entry
 from hazlens.operators import tagging
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from hazlens.operators.classify import Ensemble
 
 
 def events(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -41,6 +41,22 @@ def tagged(stream: DataFrame, lexicon: list[Entry], key: str, text: str) -> Data
     return tagging.tags(stream, lexicon, key, text)
 
 
+def scored(stream: DataFrame, model: Ensemble, threshold: float = 0.5) -> DataFrame:
+    """Each report with its score as it arrives, by the same stages as in batch."""
+    return model.score(stream, threshold)
+
+
+def met_within(first: DataFrame, second: DataFrame, by: str, within: str, late: str = "1 day") -> DataFrame:
+    """(by, first_id, second_id) of events of two streams where the second follows the first of its group within a time.
+
+    Both have event_id, ts and ``by``. Watermarks on both sides let the state of old rows go.
+    """
+    a = first.withWatermark("ts", late).select(F.col(by).alias("__a"), F.col("ts").alias("__at"), F.col("event_id").alias("first_id"))
+    b = second.withWatermark("ts", late).select(F.col(by).alias("__b"), F.col("ts").alias("__bt"), F.col("event_id").alias("second_id"))
+    met = a.join(b, (F.col("__a") == F.col("__b")) & (F.col("__bt") > F.col("__at")) & (F.col("__bt") <= F.col("__at") + F.expr(f"INTERVAL {within}")))
+    return met.select(F.col("__a").alias(by), "first_id", "second_id")
+
+
 class RepeatAlert(StatefulProcessor):
     """An alert each time a key's count passes a multiple of ``every``."""
 
@@ -62,8 +78,13 @@ class RepeatAlert(StatefulProcessor):
 
 
 def repeat_alerts(stream: DataFrame, by: str, every: int) -> DataFrame:
-    """(key, n) whenever a key's count passes a multiple of ``every``. Needs the RocksDB state store."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """(key, n) whenever a key's count passes a multiple of ``every``. Needs the RocksDB state store.
+
+    :func:`hazlens.session.build` sets it; a session from elsewhere that names none is given it here.
+    """
+    conf = stream.sparkSession.conf
+    if conf.get("spark.sql.streaming.stateStore.providerClass") != session.ROCKSDB:
+        conf.set("spark.sql.streaming.stateStore.providerClass", session.ROCKSDB)
     return stream.groupBy(by).transformWithStateInPandas(RepeatAlert(every), outputStructType=f"key {dict(stream.dtypes)[by]}, n long", outputMode="Update", timeMode="None")
 
 
@@ -85,8 +106,8 @@ def current(spark: SparkSession, path: str, key: list[str], order: str) -> DataF
     return spark.read.parquet(path).groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(order, "batch")).alias("r")).select("r.*").drop("batch")
 
 
-def start(stream: DataFrame, checkpoint: str, path: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).format("parquet").start(path)
+def start(stream: DataFrame, checkpoint: str, path: str, mode: str = "append", trigger: dict | None = None, fmt: str = "parquet") -> StreamingQuery:
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).format(fmt).start(path)
 
 
 def run_now(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

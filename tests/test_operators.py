@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazlens import cli
 from hazlens.functions import text as tx
-from hazlens.operators import dedup, evaluate, monitor, patterns
+from hazlens.operators import classify, dedup, evaluate, monitor, patterns, relate
 from hazlens.plans import catalogue
 from hazlens.sources import reports, sinks
 from hazlens.streaming import feeds
@@ -141,5 +141,69 @@ def test_command_line(spark, tmp_path, capsys):
     assert {r.rule_id for r in spark.read.parquet(str(tmp_path / "out" / "evidence")).collect()} == {"HTW", "WAU"}
 
 
+def labelled_reports(spark, path):
+    """Reports with a label: one word decides, and every fifth has no label."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        bad = k % 3 == 0
+        words = rng.choices(["worker", "walked", "near", "the", "pump", "ladder"], k=8) + (["unguarded", "energised"] if bad else ["tidy", "clean"])
+        rng.shuffle(words)
+        rows.append((k, " ".join(words) if k != 7 else None, f"2024-0{1 + k % 6}-10 10:00:00", f"site{k % 4}", f"team{k % 3}", None if k % 5 == 4 else int(bad)))
+    raw = spark.createDataFrame(rows, "id long, t string, at string, s string, g string, y int")
+    names = {"report_id": "id", "narrative": "t", "event_ts": "at", "site": "s", "team": "g", "sif_label": "y", "activity": F.lit("lifting"), "category": "s"}
+    reports.normalised(raw, names, "UA").write.parquet(path)
+
+
+def test_train_store_score_and_watch(spark, tmp_path):
+    """A model that is fitted, stored, loaded and applied in batch, as a stream and by the command line gives one result."""
+    folder = lambda name: str(tmp_path / name)
+    labelled_reports(spark, folder("in"))
+    assert cli.main(["train", folder("in"), folder("model")]) == 0
+    held = spark.read.json(folder("model/held_out")).first()
+    assert held.f1 > 0.9
+    assert cli.main(["score", folder("in"), folder("out"), "--model", folder("model")]) == 0
+    assert cli.main(["watch", folder("in"), folder("live"), "--model", folder("model"), "--checkpoint", folder("c")]) == 0
+    rows = lambda path: sorted((r.report_id, round(r.sif_score, 9), r.sif) for r in spark.read.parquet(path).collect())
+    assert rows(folder("out/scores")) == rows(folder("live")) and len(rows(folder("live"))) == 300
+    again = classify.Ensemble.load(folder("model")).score(reports.read(spark, folder("in")).na.fill("", ["narrative"]))
+    assert sorted((r.report_id, round(r.sif_score, 9), r.sif_pred) for r in again.collect()) == rows(folder("live"))
+
+
+def test_panels_of_a_model_with_drift_performance_and_clusters(spark, tmp_path):
+    folder = lambda name: str(tmp_path / name)
+    labelled_reports(spark, folder("in"))
+    assert cli.main(["train", folder("in"), folder("model")]) == 0
+    assert cli.main(["panels", folder("in"), folder("p"), "--model", folder("model"), "--split", "2024-04-01", "--clusters", "3"]) == 0
+    panel = lambda name: spark.read.parquet(folder(f"p/{name}"))
+    assert panel("performance").count() == 6 and panel("performance").agg(F.min("recall")).first()[0] > 0.8
+    assert panel("score_drift").agg(F.sum("psi")).first()[0] < 0.5
+    assert panel("category_drift").count() == 4 and panel("vocabulary_drift").first().unseen == 0
+    assert panel("activity_ranking").first().activity == "lifting"
+    assert panel("clusters").agg(F.sum("n")).first()[0] == 300
+
+
+def test_as_of_join_against_brute_force(spark):
+    rng = random.Random(3)
+    left = [(k, rng.randrange(4), rng.randrange(30)) for k in range(60)]
+    marks = sorted({(rng.randrange(4), rng.randrange(30)) for _ in range(25)})
+    out = relate.asof(spark.createDataFrame(left, "id long, g int, t int"), spark.createDataFrame([(*m, k) for k, m in enumerate(marks)], "g int, t int, mark int"), "g", "t", ["mark"])
+    want = {k: max(((m[1], n) for n, m in enumerate(marks) if m[0] == g and m[1] <= t), default=(None, None))[1] for k, g, t in left}
+    assert {r.id: r.mark for r in out.collect()} == want
+
+
+def test_auc_and_chi_square_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0, 1]), rng.choice([0.1, 0.2, 0.4, 0.8]), rng.choice("abc"), rng.random() < 0.4) for _ in range(120)]
+    df = spark.createDataFrame(rows, "y int, s double, c string, new boolean")
+    pairs = [(a[1], b[1]) for a in rows if a[0] for b in rows if not b[0]]
+    assert math.isclose(evaluate.auc(df, "y", "s").first().auc, sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs))
+    count = lambda c, n: sum(r[2] == c and r[3] == n for r in rows)
+    side = {n: sum(r[3] == n for r in rows) for n in (True, False)}
+    want = sum((count(c, n) - (count(c, True) + count(c, False)) * side[n] / len(rows)) ** 2 / ((count(c, True) + count(c, False)) * side[n] / len(rows)) for c in "abc" for n in (True, False))
+    got = monitor.chi_square(df, "c", F.col("new")).first()
+    assert math.isclose(got.chi_square, want) and got.freedom == 2
+
+
 def test_every_oracle_has_its_query():
     assert set(catalogue.ORACLE) <= set(catalogue.QUERIES)

@@ -11,7 +11,7 @@ from hazlens.plans import catalogue
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # the others are held against SQL by the driver; these cover each family
-CHOSEN = ["canonical_reports", "text_stats", "tfidf_top_terms", "sentence_count", "exact_dedup", "weak_label_vote", "rule_tags", "rule_evidence", "highlight", "multilabel_prf1", "threshold_sweep", "daily_trend_filled", "drilldown_cube", "density_ranking", "repeat_within_7d", "psi_drift", "perf_by_period"]
+CHOSEN = ["canonical_reports", "text_stats", "tfidf_top_terms", "sentence_count", "exact_dedup", "weak_label_vote", "rule_tags", "rule_evidence", "highlight", "multilabel_prf1", "threshold_sweep", "daily_trend_filled", "drilldown_cube", "density_ranking", "repeat_within_7d", "psi_drift", "perf_by_period", "ranking_functions", "analytic_functions", "distribution_statistics", "latest_by_user", "set_operations", "third_page", "props_json", "map_functions", "string_functions", "array_functions", "asof_join", "chi_square_drift", "auc_of_length", "stream_sliding", "stream_session", "stream_stream_join", "token_bayes_prf1", "score_drift"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the fixture tables")
 
