@@ -24,7 +24,9 @@ where they end. The work is linear in the length of a word.
 Decoding emits the bytes of each arc's label.
 
 Defined results: null text counts as empty and has no tokens; special tokens'
-strings in a text become their ids, as the library does by default.
+strings in a text become their ids, as the library does by default; a null doc_id
+stays null; repeated rows are all encoded; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations

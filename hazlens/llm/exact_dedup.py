@@ -116,7 +116,8 @@ def decisions(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> Data
 
 def deduplicate(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """The rows that stay, with all their columns. Rows equal in doc_id and text become one of them."""
-    text = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    out = decisions(docs, max_filter_bytes).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    kept = docs.withColumn("__sha", text).join(out, F.col("__sha").eqNullSafe(F.col("__kept_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    # one key for the join and for equal rows, so that texts are exchanged once
+    key = lambda sha: F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.lit(":"), sha)
+    out = decisions(docs, max_filter_bytes).where("kept").select(key(F.col("text_sha256")).alias("__key"))
+    kept = docs.withColumn("__key", key(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).join(out, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).drop("__key")

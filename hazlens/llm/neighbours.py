@@ -15,7 +15,9 @@ returns the best of each query.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do rows with a null vec_id or with fewer or more
-components than most of the sample; a query's own vec_id is never among its
+components than most of the sample (an inner product with them isn't defined); of
+several vectors under one vec_id the one of the least hash takes part, and repeated
+rows are one; a query's own vec_id is never among its
 results; with fewer than ``k`` candidates all are returned; an empty table gives
 an empty table; other columns are ignored.
 """
@@ -205,6 +207,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, trees: int = TR
     # ranks are limited before the exchange, so a class of any size sends a few rows a task
     own = Window.partitionBy("h").orderBy("vec_id")
     packed = scratch.written(packed, "vectors")
+    several = scratch.written(packed.groupBy("vec_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most"), "several")
+    if not several.isEmpty():
+        packed = packed.join(several, "vec_id", "left").where("least is null or h = least").drop("least", "most")
     few = packed.distinct().withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1)
     few = scratch.written(few, "few")
     classes = few.where("n = 1").select(F.col("vec_id").alias("class"), "h", "v")

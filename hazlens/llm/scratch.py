@@ -1,30 +1,19 @@
 """Tables written in the middle of a job, in the folder all executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``. Where that is unset
-(tests, a laptop) a folder of this machine is made and the setting is put in
-place, which is right for local masters only.
+The folder is the one named by ``spark.checkpoint.dir``; see
+:func:`hazlens.session.shared_folder`.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
+from hazlens.session import shared_folder
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder; raises on a cluster that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="hazlens-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -33,7 +22,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     A lost executor then costs a re-read, never a recomputation.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

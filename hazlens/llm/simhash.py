@@ -156,10 +156,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, hot_limit: int = HOT) -> Da
     return with_component(of_doc, prints, roots, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(prints: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``prints`` with root, which is the node itself where no edge meets it."""
+    return prints.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+
+
 def with_component(of_doc: DataFrame, prints: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """``of_doc`` with component_id, the least doc_id of its component. prints: (key, least); roots: (node, root)."""
-    own = prints.join(roots.withColumnRenamed("node", key), key, "left").select(key, "least", F.coalesce("root", key).alias("root"))
-    own = scratch.written(own, "own-roots")
+    own = scratch.written(_rooted(prints, roots, key), "own-roots")
     least = scratch.written(own.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = scratch.written(own.join(least, "root").select(key, "component_id"), "named")
     return of_doc.join(named, key)
@@ -405,12 +409,14 @@ def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
     of_doc = fingerprints(rows, width, words).withColumn("node", F.xxhash64(*(f"f{k}" for k in range(words))))
     of_doc = scratch.written(of_doc, "fingerprints")
-    prints = scratch.written(of_doc.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(words))), "prints")
-    roots = components(wide_links(prints.drop("least"), words, distance, prints.count()))
-    # equal doc_ids with different texts: the least text hash stays
-    grouped = scratch.written(with_component(of_doc.select("node", "doc_id", "sha"), prints.select("node", "least"), roots, "node"), "grouped")
-    stay = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "doc_id").agg(F.min("sha").alias("sha"))
-    kept = docs.withColumn("__sha", F.sha2(text, 256)).join(
-        stay.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__stay")), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__stay")), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "__sha"]).select(*names)
+    prints = scratch.written(of_doc.groupBy("node").agg(*(F.first(f"f{k}").alias(f"f{k}") for k in range(words))), "prints")
+    roots = components(wide_links(prints, words, distance, prints.count()))
+    # of equal doc_ids with different texts the least text hash stays
+    rooted = of_doc.select("node", "doc_id", "sha").join(scratch.written(_rooted(prints.select("node"), roots, "node"), "rooted"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("sha").alias("sha"))
+    stay = rooted.groupBy("root").agg(F.min(order).alias("s"))
+    # one key for the join and for equal rows, so that texts are exchanged once
+    key = lambda id_, sha: F.concat(F.coalesce(id_.cast("long").cast("string"), F.lit("null")), F.lit(":"), sha)
+    stay = scratch.written(stay.select(key(F.col("s.id"), F.col("s.sha")).alias("__key")), "stay")
+    kept = docs.withColumn("__key", key(F.col("doc_id"), F.sha2(text, 256))).join(stay, "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*names)

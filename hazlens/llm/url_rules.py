@@ -1,9 +1,9 @@
 """URL rules by a sort-merge range join.
 
-A key is the host's labels in reverse, each followed by a full stop, then a
-separator below every other byte, then the path. A rule's host is then a prefix
-of the keys of the host and all its subdomains, which is an interval of the
-sorted keys. URLs are dealt by key range; a rule goes to every range that its
+A key is the host's labels in reverse, each followed by a full stop. A rule's key
+is then a prefix of the keys of its host and all its subdomains, which is an
+interval of the sorted keys; paths aren't in the key but are looked up in the
+open rules. URLs are dealt by key range; a rule goes to every range that its
 interval meets, so at most its depth of nesting is repeated at a range's edge.
 In each range one sweep over the sorted rows keeps a stack of the host rules
 whose intervals are open; a URL asks the frames of the stack for the longest
@@ -16,7 +16,8 @@ sample only balances the work.
 A rule is longest by the characters of host and path together, then by its host.
 Defined results: a null URL, or one without ``://``, has empty host and path and
 no rule; rules with a null or empty host fit nothing; equal rules must agree,
-else block wins; an empty table gives an empty table; other columns are ignored.
+else block wins; an empty table gives an empty table; other columns are ignored; repeated rows and
+null page_ids are all judged.
 """
 
 from __future__ import annotations
