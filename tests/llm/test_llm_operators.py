@@ -8,6 +8,7 @@ import time
 import zlib
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -18,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hazlens.llm import bpe, components, exact_dedup, line_dedup, neighbours, packing, quality, secret_scan, simhash, toxicity, url_rules
+from hazlens.llm import bpe, components, exact_dedup, line_dedup, neighbours, packing, quality, registry, secret_scan, simhash, toxicity, url_rules
 from hazlens.llm import labelled as labelled_rows
 
 WORDS, BYTES = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -39,6 +40,21 @@ def messy(spark):
     return spark.createDataFrame([(*r, "x", None, 1, "z", "l") for r in rows], DOCS)
 
 
+# ---- registered queries -------------------------------------------------------------
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the fixture tables")
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(registry.ORACLE[name]).fetch_df()
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
+    rows = lambda df: collections.Counter(map(str, df.astype(object).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
 # ---- exact dedup ---------------------------------------------------------------
 
 
@@ -101,6 +117,16 @@ def test_neighbours(spark):
     assert [i for _, i, _ in got[60]][:5] == [50, 51, 52, 53, 54]
 
 
+def test_neighbours_of_repeated_rows_and_ids(spark):
+    """Equal rows are one, and of two vectors under one id one takes part."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 8)).astype(np.float32).tolist()
+    rows = [(k, v) for k, v in enumerate(vectors)] + [(3, vectors[3])] * 5 + [(0, vectors[7]), (20, vectors[20])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, n) for q in (0, 20) for n in range(1, 6)]
+    assert all(r.query_id != r.vec_id for r in got) and len({(r.query_id, r.vec_id) for r in got}) == 10
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 4.0)]

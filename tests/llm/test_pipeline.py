@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from hazlens.llm import registry, scratch, simhash
+from hazlens.llm import components, registry, scratch, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,10 +26,55 @@ def test_stages(spark):
 
 def test_stages_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_stages_of_messy_rows(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and columns with clashing names, through each stage."""
+    long = " ".join("word%d" % (k % 977) for k in range(60_000))
+    rows = [(1, "same text here now ok", "en", "a"), (2, "same text here now ok", "en", "b"), (2, "same text here now ok", "en", "b"), (3, "", "en", "a"), (4, None, None, None), (None, "one more text without an id", "fr", None)]
+    rows += [(None, "quite another text without any id", None, "a"), (5, long, "en", "a"), (6, "\n\n \n", None, "a"), (7, "key qzvkxwpjrmgtbhfdcylsn end", "de", "c"), (5, "other text under a used id", "en", "c")]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", 1, "y", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, node int, key string, root int")
+    stage = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "", r.kept, r.node, r.key, r.root) for r in df.collect())
+    every = texts(docs)
+    judged = stage["quality"](spark, docs, SF)
+    assert judged.columns == docs.columns and set(texts(judged)) <= set(every)
+    lines = stage["line_dedup"](spark, docs, SF)
+    assert lines.columns == docs.columns and texts(lines) == every  # nothing is on ten sites
+    near = stage["near_dedup"](spark, docs, SF)
+    assert near.columns == docs.columns
+    left = sorted((r.doc_id or 0, (r.text or "")[:20]) for r in near.collect())
+    assert left == sorted([(1, "same text here now o"), (3, ""), (0, "one more text withou"), (0, "quite another text w"), (5, long[:20]), (7, "key qzvkxwpjrmgtbhfd"), (5, "other text under a u")])
+    clean = stage["secrets"](spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    got = {(r.doc_id, r.text, r.n_chars) for r in clean.collect()}
+    assert (7, "key [secret] end", 16) in got and (4, None, None) in got and (5, long, len(long)) in got
+    pieces = stage["packing"](spark, docs, SF)
+    assert pieces.agg({"length": "sum"}).first()[0] > 60_000 and pieces.where("doc_id = 2").count() == 2
+
+
+def test_near_stage_keeps_first_of_each_group_at_any_cut(spark):
+    """Groups of near copies among unrelated texts, with every bucket and block cut small: the same rows stay as in one bucket."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    texts = []
+    for size in (1, 1, 1, 2, 3, 40):
+        base = [word() for _ in range(300)]
+        for _ in range(size):
+            two = list(base)
+            two[rng.randrange(300)] = word()
+            texts.append(" ".join(two))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of_doc = simhash.fingerprints(docs, 5, 8).withColumnRenamed("doc_id", "node")
+    want = [0, 1, 2, 3, 5, 8]
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+    for task_rows in (1 << 19, 20, 6):
+        roots = {r.node: r.root for r in components.components(simhash.wide_links(of_doc, 8, 92, len(texts), task_rows)).collect()}
+        assert sorted({roots.get(k, k) for k in range(len(texts))}) == want
+
+
 def test_near_stage_against_brute_force(spark):
     """Pairs of five-word Jaccard 0.8 to 0.95: one of two stays just where their fingerprints are within 92 bits, and nothing else goes."""
     rng = random.Random(4)
