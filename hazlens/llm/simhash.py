@@ -74,6 +74,16 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(found, np.uint64), ends
 
 
+def once_a_text(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once in its text, and the offset of each text."""
+    owner = np.repeat(np.arange(len(ends) - 1), ends[1:] - ends[:-1])
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[first], np.searchsorted(owner[first], np.arange(len(ends)))
+
+
 def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each text the word of the bits set in over half of its hashes."""
     out = np.zeros(len(ends) - 1, np.uint64)
@@ -103,20 +113,22 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _fingerprints(width: int, words: int):
+def _fingerprints(width: int, words: int, once: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in runs.pieces(batches, limit=2 << 20):
             hashes, ends = shingle_hashes(batch.column("text"), width)
+            if once:
+                hashes, ends = once_a_text(hashes, ends)
             prints = [majority(mixed(hashes, k) if k else hashes, ends).view(np.int64) for k in range(words)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), *map(pa.array, prints)], [*(c for c in batch.schema.names if c != "text"), *(f"f{k}" for k in range(words))])
 
     return work
 
 
-def fingerprints(docs: DataFrame, width: int = 3, words: int = 1) -> DataFrame:
-    """The columns of ``docs`` but text, and f0, f1, ...: 64 bits of the fingerprint each."""
+def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, once: bool = False) -> DataFrame:
+    """The columns of ``docs`` but text, and f0, f1, ...: 64 bits of the fingerprint each. once: a repeated shingle counts once."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return runs.mapped(docs, _fingerprints(width, words), ", ".join([kept, *(f"f{k} long" for k in range(words))]))
+    return runs.mapped(docs, _fingerprints(width, words, once), ", ".join([kept, *(f"f{k} long" for k in range(words))]))
 
 
 def _touching(table: DataFrame, probes: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -407,7 +419,7 @@ def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
-    of_doc = fingerprints(rows, width, words).withColumn("node", F.xxhash64(*(f"f{k}" for k in range(words))))
+    of_doc = fingerprints(rows, width, words, once=True).withColumn("node", F.xxhash64(*(f"f{k}" for k in range(words))))
     of_doc = scratch.written(of_doc, "fingerprints")
     prints = scratch.written(of_doc.groupBy("node").agg(*(F.first(f"f{k}").alias(f"f{k}") for k in range(words))), "prints")
     roots = components(wide_links(prints, words, distance, prints.count()))

@@ -67,7 +67,7 @@ def test_near_stage_keeps_first_of_each_group_at_any_cut(spark):
             two[rng.randrange(300)] = word()
             texts.append(" ".join(two))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    of_doc = simhash.fingerprints(docs, 5, 8).withColumnRenamed("doc_id", "node")
+    of_doc = simhash.fingerprints(docs, 5, 8, once=True).withColumnRenamed("doc_id", "node")
     want = [0, 1, 2, 3, 5, 8]
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
     for task_rows in (1 << 19, 20, 6):
@@ -91,7 +91,7 @@ def test_near_stage_against_brute_force(spark):
         similar.append(len(a & b) / len(a | b))
         texts += [" ".join(one), " ".join(two)]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    prints = {r.doc_id: np.array([r[f"f{k}"] for k in range(8)]).view(np.uint64) for r in simhash.fingerprints(docs.select("doc_id", "text"), 5, 8).collect()}
+    prints = {r.doc_id: np.array([r[f"f{k}"] for k in range(8)]).view(np.uint64) for r in simhash.fingerprints(docs.select("doc_id", "text"), 5, 8, once=True).collect()}
     apart = lambda a, b: int(np.bitwise_count(prints[a] ^ prints[b]).sum())
     gone = {b for b in range(len(texts)) if any(apart(a, b) <= 92 for a in range(b))}
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()} == set(range(len(texts))) - gone
