@@ -73,8 +73,18 @@ def density(rows: DataFrame, by: list[str], precursor: Column, min_n: int = 1) -
     """Precursors among all reports of a group, ranked; groups under ``min_n`` are left out, ties go by the group's key."""
     groups = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(precursor).alias("precursors")).where(F.col("n") >= min_n)
     groups = groups.withColumn("density", F.col("precursors") / F.col("n"))
-    # ranked over groups, not over reports
-    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("density"), *by)))
+    return placed(groups, [F.desc("density"), *map(F.col, by)])
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their place in a total order. Each range of the order is numbered by itself and moved by the sizes
+    of those before it, so no task sees all rows."""
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # as many rows as there are ranges
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__at", inside).join(F.broadcast(shift), "__part").withColumn("place", (F.col("__at") + F.col("__shift")).cast("int")).drop("__part", "__at", "__shift")
 
 
 def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -95,9 +105,18 @@ def cooccurring(tagged: DataFrame, rules: str = "rules") -> DataFrame:
 
 
 def transitions(rows: DataFrame, by: str, at: list[str], state: str) -> DataFrame:
-    """How often a state follows another within a group."""
-    after = F.lead(state).over(Window.partitionBy(by).orderBy(*at))
-    steps = rows.select(F.col(state).alias("state"), after.alias("next_state")).where(F.col("next_state").isNotNull())
+    """How often a state follows another within a group; the first of ``at`` is a time, and all of it is distinct in a group.
+
+    Days are followed by themselves and then joined by their first and last state, so a group with
+    a third of all rows is worked on a day a task.
+    """
+    order = F.struct(*at)
+    dated = rows.where(F.col(state).isNotNull()).withColumn("__day", F.to_date(at[0]))
+    after = F.lead(state).over(Window.partitionBy(by, "__day").orderBy(*at))
+    inside = dated.select(F.col(state).alias("state"), after.alias("next_state"))
+    days = dated.groupBy(by, "__day").agg(F.min_by(state, order).alias("first"), F.max_by(state, order).alias("last"))
+    between = days.select(F.col("last").alias("state"), F.lead("first").over(Window.partitionBy(by).orderBy("__day")).alias("next_state"))
+    steps = inside.unionByName(between).where(F.col("next_state").isNotNull())
     return steps.groupBy("state", "next_state").agg(F.count("*").alias("n"))
 
 
@@ -108,10 +127,22 @@ def contributors(rows: DataFrame, by: list[str], who: str, approximate: bool = F
 
 
 def repeats(rows: DataFrame, by: list[str], ts: str, days: int) -> DataFrame:
-    """For each row the rows of its group within ``days`` before it, itself included."""
-    seconds = F.unix_micros(F.col(ts).cast("timestamp"))
-    frame = Window.partitionBy(*by).orderBy(seconds).rangeBetween(-days * 86_400_000_000, 0)
-    return rows.withColumn("repeats", F.count("*").over(frame))
+    """For each row the rows of its group within ``days`` before it, itself included.
+
+    A row counts what is before it in its own span of ``days``, and, of the span before, what is not
+    yet too old. So a row goes to its span and, as a mark only, to the next: two spans a task at
+    most, however many rows a group has.
+    """
+    span = days * 86_400_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = F.floor(at / span).cast("long")
+    placed_rows = rows.withColumns({"__at": at, "__span": own, "__mark": F.lit(False)})
+    marks = placed_rows.where("__at is not null").select(*by, "__at", (F.col("__span") + 1).alias("__span"), F.lit(True).alias("__mark"))
+    both = placed_rows.unionByName(marks, allowMissingColumns=True)
+    frame = Window.partitionBy(*by, "__span").orderBy("__at").rangeBetween(-span, 0)
+    counted = both.withColumn("repeats", F.count("*").over(frame)).where(~F.col("__mark"))
+    # a row without a time is counted with its like, as a window would
+    return counted.drop("__at", "__span", "__mark")
 
 
 def frequent(rows: DataFrame, items: str, min_support: float, min_confidence: float):

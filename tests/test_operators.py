@@ -86,6 +86,38 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def test_minhash_pairs_find_what_jaccard_pairs_find(spark):
+    """Recall over pairs of 0.8 to 1 by exact comparison, and nothing else."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(200)]
+        texts.append(" ".join(words))
+        for k in rng.sample(range(200), rng.randint(1, 4)):
+            words[k] = "edit"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([*enumerate(texts), (200, None), (201, "")], "id long, t string")
+    pairs = lambda found: {(r.key_a, r.key_b): round(r.jaccard, 9) for r in found.collect()}
+    want, got = pairs(dedup.jaccard_pairs(df, "id", "t")), pairs(dedup.minhash_pairs(df, "id", "t"))
+    assert len(want) >= 50 and set(got) <= set(want) and len(got) >= 0.99 * len(want) and all(want[p] == j for p, j in got.items())
+
+
+def test_places_and_transitions_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice("ab"), dt.datetime(2024, 1, rng.randint(1, 6), rng.randint(0, 23), k % 60), rng.choice(["x", "y", None])) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, g string, at timestamp, s string")
+    want = {}
+    for g in "ab":
+        steps = [r[3] for r in sorted((r for r in rows if r[1] == g and r[3]), key=lambda r: (r[2], r[0]))]
+        for pair in zip(steps, steps[1:]):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r.state, r.next_state): r.n for r in patterns.transitions(df, "g", ["at", "id"], "s").collect()} == want
+    placed = patterns.placed(df.repartition(5), [F.col("at"), F.col("id")]).collect()
+    assert [r.id for r in sorted(placed, key=lambda r: r.place)] == [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))] and sorted(r.place for r in placed) == list(range(1, 81))
+    got = {r.id: r.repeats for r in patterns.repeats(df, ["g", "s"], "at", 2).collect()}
+    assert got == {r[0]: sum(o[1] == r[1] and o[3] == r[3] and dt.timedelta(0) <= r[2] - o[2] <= dt.timedelta(2) for o in rows) for r in rows}
+
+
 def test_stability_of_equal_distributions_is_zero(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",)], "c string")
     assert monitor.stability(df, df, "c").agg(F.sum("psi")).first()[0] == 0
