@@ -36,6 +36,8 @@ from hazlens.llm import bpe, runs
 
 TIERS = (2048, 1024, 512, 256)
 CLOSING_ID = 1
+#: Bytes of text tokenized at once; what is made of them takes some thirty times that.
+PIECE_BYTES = 4 << 20
 #: Documents packed together. Bounds memory, and the share of sequences that stay short.
 GROUP_TOKENS = 1 << 22
 #: What is left of a group at last, padded in one sequence.
@@ -157,7 +159,7 @@ def _packer(path: str, tiers: tuple[int, ...], closing: int, group_tokens: int):
         tokens, part = bpe.coder(path, bpe.WordCoder), TaskContext.get().partitionId()
         held: list[tuple[object, np.ndarray]] = []
         size = base = 0
-        for batch in runs.pieces(batches):
+        for batch in runs.pieces(batches, limit=PIECE_BYTES):
             values, ends = tokens.encode(batch.column("text"))
             for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends.tolist(), ends[1:].tolist()):
                 held.append((doc, np.append(values[a:b], np.uint32(closing))))

@@ -16,13 +16,13 @@ each; no such group can have more than 65.
 ``SEGMENT`` bits. Of two fingerprints within the distance some segment differs
 in at most distance / segments bits (rounded down: 92 / 24 = 3), so the balls of
 that radius about each segment meet every pair, whatever the number of rows. A
-table is one task, or one for each bucket of its keys' first bits, which entries
-within the radius of a bucket visit; there keys are looked up in an array and
-candidates verified by the complete distance. Rows that are connected already
-aren't compared. In larger inputs a key with many entries names a leader;
-entries within the distance of one leader are connected through it, so that
-their blocks needn't meet each other, only the rest. All other blocks of an
-oversized bucket meet in tiles. Nothing is left out.
+table is one task, or one for each bucket of its keys' first bits. A task holds
+its bucket's entries; those of other buckets within the radius visit it in
+batches. Keys are looked up in an array and candidates verified by the complete
+distance. Rows that are connected already aren't compared. In larger inputs a
+key with many entries names a leader; entries within the distance of one leader
+are connected through it, so that they needn't visit each other, only the rest.
+The other blocks of an oversized bucket visit each other. Nothing is left out.
 
 Defined results: null text counts as empty; texts without words have fingerprint
 zero, linked like any other; a null doc_id is no candidate for a component's
@@ -47,8 +47,8 @@ SEED = 42
 HOT = 64
 #: Bits of a segment of a wide fingerprint; three to a word.
 SEGMENT = 21
-#: Entries of one task's bucket, but for those that visit it.
-TASK_ROWS = 1 << 19
+#: Entries that one task holds (some 120 bytes each); those that visit its bucket pass by in batches.
+TASK_ROWS = 1 << 21
 #: Pairs compared at once, and rows held against the whole of two long runs first.
 MOST_PAIRS, LEADERS = 1 << 18, 16
 
@@ -294,11 +294,8 @@ class _Tile:
         low, high = np.minimum.reduceat(labels, side.first), np.maximum.reduceat(labels, side.first)
         return np.where(low == high, low, -1)
 
-    def probe(self, one: _Side, two: _Side, masks: np.ndarray, upward: bool) -> None:
-        """Look the ball about each key of ``one`` up in ``two``; ``upward``: only larger keys, and each run in itself."""
-        if not len(one.keys) or not len(two.keys):
-            return
-        table = two.table()
+    def probe(self, one: _Side, two: _Side, table: np.ndarray, masks: np.ndarray, upward: bool) -> None:
+        """Look the ball about each key of ``one`` up in the ``table`` of ``two``; ``upward``: only larger keys, and each run in itself."""
         for turn, mask in enumerate(masks.tolist()):
             if not turn or (turn % 16 == 0 and self.changed):  # labels only merge, so older ones never skip too much
                 mine, theirs, self.changed = self.uniform(one), self.uniform(two), False
@@ -311,35 +308,111 @@ class _Tile:
                 self.runs(one, i[open_], two, j[open_])
 
 
-def _matched(words: int, distance: int, radius: int, low: int):
-    """Edges (node, least connected node) of one tile of the index: a block of a table, or two."""
-    masks = _masks(SEGMENT, radius)
+class _Home(_Tile):
+    """The rows of one block of a table, held in memory, which visiting rows are compared with as they come."""
 
-    def work(rows: pa.Table) -> pa.Table:
-        take = lambda name: rows.column(name).to_numpy()
+    def __init__(self, rows: list[dict[str, np.ndarray]], words: int, distance: int, masks: np.ndarray, low: int) -> None:
         # in order of keys, so that the rows about a key and about its ball lie together in memory
-        order = np.argsort(take("key"), kind="stable")
-        node, key, side, lead = (take(c)[order] for c in ("node", "key", "side", "lead"))
-        bits = [take(f"f{k}").view(np.uint64)[order] for k in range(words)]
+        key = np.concatenate([r["key"] for r in rows])
+        order = np.argsort(key, kind="stable")
+        take = lambda name: np.concatenate([r[name] for r in rows])[order]
+        self.node, lead, key = take("node"), take("lead"), key[order]
         # rows of one leader are connected from the start; 0 is none
-        label = np.arange(len(node))
+        label = np.arange(len(key))
         led = np.flatnonzero(lead != 0)
         _, first, of = np.unique(lead[led], return_index=True, return_inverse=True)
         label[led] = led[first][of]
-        tile = _Tile(bits, label, distance)
-        home = (key >> low) == int(rows.column("bucket")[0].as_py())
-        inner, outer = masks[masks >> low == 0], masks[masks >> low != 0]
-        part = lambda on: _Side(np.flatnonzero(on), key[on])
-        if int(rows.column("x")[0].as_py()) == int(rows.column("y")[0].as_py()):
-            tile.probe(part(home), part(home), inner, True)
-            tile.probe(part(home), part(~home), outer, False)
-        else:
-            a, b = side == 0, side == 1
-            tile.probe(part(home & a), part(home & b), inner, False)
-            tile.probe(part(home & a), part(~home & b), outer, False)
-            tile.probe(part(home & b), part(~home & a), outer, False)
-        moved = np.flatnonzero(node[tile.label] != node)
-        return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[tile.label[moved]])})
+        super().__init__([take(f"f{k}").view(np.uint64) for k in range(words)], label, distance)
+        self.words, self.low, self.bucket = words, low, int(key[0]) >> low
+        self.inner, self.outer = masks[masks >> low == 0], masks[masks >> low != 0]
+        self.side = _Side(np.arange(len(key)), key)
+        self.known = self.side.table()
+        self.probe(self.side, self.side, self.known, self.inner, True)
+
+    def visited(self, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Edges (visiting node, node here)."""
+        own, n = len(self.node), len(rows["node"])
+        home = self.bits, self.label
+        self.bits = _Grown.of(home[0], [rows[f"f{k}"].view(np.uint64) for k in range(self.words)])
+        self.label, self.changed = np.concatenate([home[1], np.arange(own, own + n)]), True
+        same = rows["key"] >> self.low == self.bucket
+        for on, masks in ((same, self.inner), (~same, self.outer)):
+            if on.any():
+                self.probe(_Side(own + np.flatnonzero(on), rows["key"][on]), self.side, self.known, masks, False)
+        met = np.flatnonzero(self.label[own:] < own)
+        edges = rows["node"][met], self.node[self.label[own + met]]
+        # visitors that met here connected what they met
+        self.bits, self.label, self.changed = home[0], self.label[:own].copy(), True
+        return edges
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.node[moved], self.node[self.label[moved]]
+
+
+class _Grown:
+    """Two arrays as one, without copying the first."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
+        self.first, self.second = first, second
+
+    @classmethod
+    def of(cls, first: list[np.ndarray], second: list[np.ndarray]) -> list[_Grown]:
+        return [cls(a, b) for a, b in zip(first, second)]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        n = len(self.first)
+        if not len(at) or at.min() >= n:
+            return self.second[at - n]
+        if at.max() < n:
+            return self.first[at]
+        out = np.empty(len(at), self.first.dtype)
+        here = at < n
+        out[here], out[~here] = self.first[at[here]], self.second[at[~here] - n]
+        return out
+
+
+def _matched(words: int, distance: int, radius: int, low: int):
+    """Edges of the tables' blocks; rows come in order of (segment, bucket, x), those of the block before its visitors."""
+    masks = _masks(SEGMENT, radius)
+    columns = ("key", "node", "lead", *(f"f{k}" for k in range(words)))
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        home, at = None, None
+
+        def settled() -> _Home | None:
+            nonlocal held
+            made = _Home(held, words, distance, masks, low) if held else None
+            held = []
+            return made
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in ("segment", "bucket", "x", "role", *columns)}
+            where = np.stack([rows["segment"], rows["bucket"], rows["x"], rows["role"]])
+            cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                block, role = tuple(where[:3, begin].tolist()), int(where[3, begin])
+                if block != at:
+                    home = home or settled()
+                    if home is not None:
+                        yield out(*home.edges())
+                    home, at = None, block
+                part = {c: rows[c][begin:end] for c in columns}
+                if role == 0:
+                    held.append(part)
+                else:
+                    home = home or settled()
+                    if home is not None:
+                        yield out(*home.visited(part))
+        home = home or settled()
+        if home is not None:
+            yield out(*home.edges())
 
     return work
 
@@ -385,30 +458,40 @@ def wide_links(prints: DataFrame, words: int, distance: int, rows: int, task_row
     bits = min(SEGMENT, max(0, (max(rows, 1) - 1) // task_rows).bit_length())
     fs = [f"f{k}" for k in range(words)]
     table = ["segment", "bucket"]
+    cells = [*table, "x", "role", "key", "node", "lead", *fs]
     entries = _entries(prints, words)
-    work = _matched(words, distance, radius, SEGMENT - bits)
     if not bits:
-        dealt = _visits(entries, 0, radius).select(*table, F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "key", "node", F.lit(0).cast("long").alias("lead"), *fs)
-        found = dealt.repartition(4 * segments, *table).groupBy(*table, "x", "y").applyInArrow(work, "a long, b long")
-        return found.where("a <> b").distinct()
+        visits = _visits(entries, 0, radius).withColumns({"x": F.lit(0).cast("long"), "role": F.lit(0), "lead": F.lit(0).cast("long")})
+        return _edges(visits.select(*cells), words, distance, radius, 4 * segments, SEGMENT)
     led = _leaders(entries, words, distance, max(1, task_rows // 4))
     visits = scratch.written(_visits(entries, bits, radius).join(led, "node", "left").withColumn("lead", F.coalesce("lead", F.lit(0).cast("long"))), "visits")
+    own = F.shiftrightunsigned("key", SEGMENT - bits) == F.col("bucket")
     # a leader's rows in a table are a class of their own if they are many; the other rows are class 0
-    classes = visits.groupBy(*table, "lead").agg(F.count("*").alias("n")).withColumn("class", F.when(F.col("n") > task_rows // 4, F.col("lead")).otherwise(F.lit(0).cast("long")))
-    classes = scratch.written(classes, "classes")
-    blocks = classes.groupBy(*table, "class").agg(F.ceil(F.sum("n") / (4 * task_rows)).cast("int").alias("blocks"))
+    sizes = visits.where(own).groupBy(*table, "lead").agg(F.count("*").alias("n")).withColumn("class", F.when(F.col("n") > task_rows // 4, F.col("lead")).otherwise(F.lit(0).cast("long")))
+    sizes = scratch.written(sizes, "classes")
+    blocks = sizes.groupBy(*table, "class").agg(F.ceil(F.sum("n") / (2 * task_rows)).cast("int").alias("blocks"))
     sets = scratch.written(blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.xxhash64("class", "block")), "blocks")
-    # rows of one leader are connected, so two blocks of one class don't meet
-    one, two = (sets.select(*table, F.col("class").alias(f"class_{n}"), F.col("x").alias(n)) for n in ("x", "y"))
-    tiles = scratch.written(one.join(two, table).where((F.col("x") <= F.col("y")) & ((F.col("class_x") != F.col("class_y")) | (F.col("class_x") == 0))), "tiles")
-    home = visits.join(classes.select(*table, "lead", "class"), [*table, "lead"]).join(blocks, [*table, "class"])
-    home = scratch.written(home.withColumn("own", F.xxhash64("class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).select(*table, "own", "key", "node", "lead", *fs), "dealt")
-    ends = tiles.select(*table, "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("own"))
-    dealt = home.join(ends, [*table, "own"]).withColumn("side", (F.col("own") != F.col("x")).cast("int"))
-    found = dealt.groupBy(*table, "x", "y").applyInArrow(work, "a long, b long")
+    # rows of one leader are connected, so they don't meet
+    apart = lambda a, b: (F.col(a) == 0) | (F.col(a) != F.col(b))
+    classed = visits.where(own).join(sizes.select(*table, "lead", "class"), [*table, "lead"]).join(blocks, [*table, "class"])
+    home = scratch.written(classed.withColumn("own", F.xxhash64("class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))).select(*table, "own", "key", "node", "lead", *fs), "home")
+    # blocks of one table visit each other once, and rows of other tables visit every block
+    one, two = sets.select(*table, F.col("class").alias("class_x"), "x"), sets.select(*table, F.col("class").alias("class_y"), F.col("x").alias("own"))
+    pairs = one.join(two, table).where((F.col("x") < F.col("own")) & apart("class_x", "class_y")).select(*table, "x", "own")
+    dealt = home.withColumns({"x": F.col("own"), "role": F.lit(0)}).select(*cells)
+    dealt = dealt.unionByName(home.join(pairs, [*table, "own"]).withColumn("role", F.lit(1)).select(*cells))
+    dealt = dealt.unionByName(visits.where(~own).join(one, table).where(apart("class_x", "lead")).withColumn("role", F.lit(1)).select(*cells))
+    found = _edges(dealt, words, distance, radius, 2 * segments << bits, SEGMENT - bits)
     return found.unionByName(led.select(F.col("node").alias("a"), F.col("lead").alias("b"))).where("a <> b").distinct()
 
 
+def _edges(dealt: DataFrame, words: int, distance: int, radius: int, parts: int, low: int) -> DataFrame:
+    """The matches of every block, each block in one task."""
+    block = ["segment", "bucket", "x"]
+    sorted_rows = dealt.repartition(parts, *block).sortWithinPartitions(*block, "role")
+    return runs.mapped(sorted_rows, _matched(words, distance, radius, low), "a long, b long").where("a <> b").distinct()
+
+
 def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the least doc_id, of equal rows one.
 
