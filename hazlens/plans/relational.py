@@ -83,6 +83,21 @@ def latest_by_user(spark, sf_dir):
     return out.select("user_id", F.col("r.event_id").alias("last_event"), F.col("r.event_type").alias("last_type"), "types", "kinds")
 
 
+@query("""
+    SELECT event_type, count(DISTINCT user_id) AS users, true AS distinct_is_near, true AS merged_is_near, true AS median_is_near
+    FROM events GROUP BY event_type
+""")
+def approximate_aggregates(spark, sf_dir):
+    """Estimates beside exact values: distinct users, the same from sketches by day that are merged, and the median."""
+    events = table(spark, sf_dir, "events")
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.02).alias("near"), F.percentile("value", F.array(F.lit(0.45), F.lit(0.55))).alias("around"), F.percentile_approx("value", 0.5, 1000).alias("median"))
+    daily = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.hll_sketch_agg("user_id", F.lit(12)).alias("sketch"))
+    merged = daily.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("merged"))
+    close = lambda c: F.abs(F.col(c) - F.col("users")) <= 0.1 * F.col("users")
+    out = exact.join(merged, "event_type")
+    return out.select("event_type", "users", close("near").alias("distinct_is_near"), close("merged").alias("merged_is_near"), F.col("median").between(F.col("around")[0], F.col("around")[1]).alias("median_is_near"))
+
+
 # ---- sets, sort and limit --------------------------------------------------------
 
 
