@@ -196,6 +196,7 @@ class _Side:
         order = np.argsort(keys, kind="stable")
         self.rows = rows[order]
         self.keys, self.first, self.size = np.unique(keys[order], return_index=True, return_counts=True)
+        self.many, self.one = self.size > 1, self.rows[self.first]
 
     def table(self) -> np.ndarray:
         """The run of every possible key, -1 where there is none."""
@@ -204,6 +205,15 @@ class _Side:
         return out
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits of each row differ. Overwrites a."""
+    count = np.bitwise_count(np.bitwise_xor(a, b, out=a))
+    out = count[:, 0].astype(np.uint16)
+    for k in range(1, count.shape[1]):
+        out += count[:, k]
+    return out
+
+
 class _Tile:
     """The matches of one table of the index, as a partition of its rows into connected ones.
 
@@ -211,15 +221,15 @@ class _Tile:
     be the square of a large group of near copies.
     """
 
-    def __init__(self, bits: list[np.ndarray], label: np.ndarray, distance: int) -> None:
-        self.bits, self.label, self.distance, self.changed = bits, label, distance, True
+    def __init__(self, bits: np.ndarray, label: np.ndarray, distance: int) -> None:
+        # a row's words lie together, and the half that is looked at first by itself
+        self.bits, self.front = bits, np.ascontiguousarray(bits[:, : bits.shape[1] // 2])
+        self.label, self.distance, self.changed = label, distance, True
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of rows are within the distance, judged on half of the words first."""
-        half = len(self.bits) // 2
-        apart = lambda words, a, b: sum((np.bitwise_count(w[a] ^ w[b]) for w in words), np.zeros(len(a), np.uint16))
-        found = np.flatnonzero(apart(self.bits[:half], a, b) <= self.distance)
-        return found[apart(self.bits, a[found], b[found]) <= self.distance] if len(found) else found
+        found = np.flatnonzero(_apart(self.front.take(a, axis=0), self.front.take(b, axis=0)) <= self.distance)
+        return found[_apart(self.bits.take(a[found], axis=0), self.bits.take(b[found], axis=0)) <= self.distance] if len(found) else found
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Rows a[k] and b[k] are connected."""
@@ -242,8 +252,9 @@ class _Tile:
             self.label, self.changed = to[self.label], True
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        apart = self.label[a] != self.label[b]
-        a, b = a[apart], b[apart]
+        apart = self.label.take(a) != self.label.take(b)
+        if not apart.all():
+            a, b = a[apart], b[apart]
         if len(a):
             found = self.near(a, b)
             if len(found):
@@ -251,6 +262,13 @@ class _Tile:
 
     def runs(self, one: _Side, i: np.ndarray, two: _Side, j: np.ndarray) -> None:
         """Compare the rows of runs i[k] of ``one`` with those of runs j[k] of ``two``."""
+        # the first rows of all runs, then the other pairs of the long ones
+        for at in range(0, len(i), MOST_PAIRS):
+            self.compare(one.one.take(i[at : at + MOST_PAIRS]), two.one.take(j[at : at + MOST_PAIRS]))
+        many = np.flatnonzero(one.many.take(i) | two.many.take(j))
+        if not len(many):
+            return
+        i, j = i[many], j[many]
         product = one.size[i] * two.size[j]
         for k in np.flatnonzero(product > MOST_PAIRS).tolist():
             self.large(one.rows[one.first[i[k]] : one.first[i[k]] + one.size[i[k]]], two.rows[two.first[j[k]] : two.first[j[k]] + two.size[j[k]]])
@@ -261,10 +279,6 @@ class _Tile:
         while at < len(i):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_PAIRS, "right")))
             n = product[at:stop]
-            if ends[stop - 1] - (ends[at - 1] if at else 0) == stop - at:  # one row each
-                self.compare(one.rows[one.first[i[at:stop]]], two.rows[two.first[j[at:stop]]])
-                at = stop
-                continue
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             width = np.repeat(two.size[j[at:stop]], n)
             self.compare(one.rows[np.repeat(one.first[i[at:stop]], n) + place // width], two.rows[np.repeat(two.first[j[at:stop]], n) + place % width])
@@ -300,11 +314,14 @@ class _Tile:
             if not turn or (turn % 16 == 0 and self.changed):  # labels only merge, so older ones never skip too much
                 mine, theirs, self.changed = self.uniform(one), self.uniform(two), False
             sought = one.keys ^ mask
-            j = table[sought]
+            j = table.take(sought)
             i = np.flatnonzero((j >= 0) & (sought >= one.keys) if upward else j >= 0)
-            j = j[i]
-            open_ = (mine[i] != theirs[j]) | (mine[i] < 0)
-            if open_.any():
+            j = j.take(i)
+            label = mine.take(i)
+            open_ = (label != theirs.take(j)) | (label < 0)
+            if open_.all():
+                self.runs(one, i, two, j)
+            elif open_.any():
                 self.runs(one, i[open_], two, j[open_])
 
 
@@ -322,7 +339,7 @@ class _Home(_Tile):
         led = np.flatnonzero(lead != 0)
         _, first, of = np.unique(lead[led], return_index=True, return_inverse=True)
         label[led] = led[first][of]
-        super().__init__([take(f"f{k}").view(np.uint64) for k in range(words)], label, distance)
+        super().__init__(np.stack([take(f"f{k}").view(np.uint64) for k in range(words)], 1), label, distance)
         self.words, self.low, self.bucket = words, low, int(key[0]) >> low
         self.inner, self.outer = masks[masks >> low == 0], masks[masks >> low != 0]
         self.side = _Side(np.arange(len(key)), key)
@@ -332,9 +349,10 @@ class _Home(_Tile):
     def visited(self, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Edges (visiting node, node here)."""
         own, n = len(self.node), len(rows["node"])
-        home = self.bits, self.label
-        self.bits = _Grown.of(home[0], [rows[f"f{k}"].view(np.uint64) for k in range(self.words)])
-        self.label, self.changed = np.concatenate([home[1], np.arange(own, own + n)]), True
+        home = self.bits, self.front, self.label
+        bits = np.stack([rows[f"f{k}"].view(np.uint64) for k in range(self.words)], 1)
+        self.bits, self.front = _Grown(home[0], bits), _Grown(home[1], bits[:, : bits.shape[1] // 2])
+        self.label, self.changed = np.concatenate([home[2], np.arange(own, own + n)]), True
         same = rows["key"] >> self.low == self.bucket
         for on, masks in ((same, self.inner), (~same, self.outer)):
             if on.any():
@@ -342,7 +360,7 @@ class _Home(_Tile):
         met = np.flatnonzero(self.label[own:] < own)
         edges = rows["node"][met], self.node[self.label[own + met]]
         # visitors that met here connected what they met
-        self.bits, self.label, self.changed = home[0], self.label[:own].copy(), True
+        self.bits, self.front, self.label, self.changed = home[0], home[1], self.label[:own].copy(), True
         return edges
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
@@ -351,24 +369,20 @@ class _Home(_Tile):
 
 
 class _Grown:
-    """Two arrays as one, without copying the first."""
+    """The rows of two arrays as one, without copying the first."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray) -> None:
-        self.first, self.second = first, second
-
-    @classmethod
-    def of(cls, first: list[np.ndarray], second: list[np.ndarray]) -> list[_Grown]:
-        return [cls(a, b) for a, b in zip(first, second)]
+        self.first, self.second, self.shape = first, second, first.shape
 
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+    def take(self, at: np.ndarray, axis: int = 0) -> np.ndarray:
         n = len(self.first)
         if not len(at) or at.min() >= n:
-            return self.second[at - n]
+            return self.second.take(at - n, axis=axis)
         if at.max() < n:
-            return self.first[at]
-        out = np.empty(len(at), self.first.dtype)
+            return self.first.take(at, axis=axis)
+        out = np.empty((len(at), self.shape[1]), self.first.dtype)
         here = at < n
-        out[here], out[~here] = self.first[at[here]], self.second[at[~here] - n]
+        out[here], out[~here] = self.first.take(at[here], axis=axis), self.second.take(at[~here] - n, axis=axis)
         return out
 
 
@@ -448,13 +462,14 @@ def _leaders(entries: DataFrame, words: int, distance: int, many: int) -> DataFr
     return scratch.written(met.groupBy("node").agg(F.min("l.node").alias("lead")), "led")
 
 
-def wide_links(prints: DataFrame, words: int, distance: int, rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+def wide_links(prints: DataFrame, words: int, distance: int, rows: int, task_rows: int = TASK_ROWS, radius: int | None = None) -> DataFrame:
     """Edges (a, b), enough to connect all nodes at most ``distance`` bits apart. prints: node, f0, f1, ...
 
     ``rows`` only decides on how the work is cut: into buckets of about ``task_rows`` entries.
+    radius: of the balls; a smaller one than by default is cheaper and misses some pairs.
     """
     segments = words * (64 // SEGMENT)
-    radius = distance // segments
+    radius = distance // segments if radius is None else radius
     bits = min(SEGMENT, max(0, (max(rows, 1) - 1) // task_rows).bit_length())
     fs = [f"f{k}" for k in range(words)]
     table = ["segment", "bucket"]
