@@ -65,7 +65,8 @@ def sweep(rows: DataFrame, label: str, score: str, thresholds: list[float]) -> D
     largest one it reaches and the bins are summed from the top; no row is repeated.
     """
     steps = sorted(thresholds)
-    reached = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: F.col(score) >= t))
+    # a sum and no lambda, in which the score would be worked out again for each threshold
+    reached = sum((F.coalesce(F.col(score) >= t, F.lit(False)).cast("int") for t in steps[1:]), F.coalesce(F.col(score) >= steps[0], F.lit(False)).cast("int"))
     bins = rows.groupBy(reached.alias("reached")).agg(F.count_if(F.col(label) == 1).alias("y"), F.count_if(F.col(label) == 0).alias("n"))
     # the bins are at most one more than the thresholds
     at = F.array(*(F.struct(F.lit(k + 1).alias("step"), F.lit(t).alias("threshold")) for k, t in enumerate(steps)))

@@ -122,8 +122,9 @@ def tfidf_top_terms(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     # a document is one row, so its uses and its distinct terms are counted side by side and meet in one exchange
     uses = lambda words, tf, df: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
-    words = docs.select("lang", words_of.tokens(F.col("text")).alias("w"))
-    terms = words.select("lang", F.explode(F.concat(uses(F.col("w"), 1, 0), uses(F.array_distinct("w"), 0, 1))).alias("u"))
+    # a variable of the lambda, so that a text is split once
+    both = F.transform(F.array(words_of.tokens(F.col("text"))), lambda w: F.concat(uses(w, 1, 0), uses(F.array_distinct(w), 0, 1)))[0]
+    terms = docs.select("lang", F.explode(both).alias("u"))
     tf = terms.groupBy("lang", F.col("u.term").alias("term")).agg(F.sum("u.tf").alias("tf"), F.sum("u.df").alias("df"))
     sizes = docs.groupBy("lang").agg(F.count("*").alias("docs"))
     weight = F.round(F.col("tf") * F.log((F.col("docs") + 1.0) / (F.col("df") + 1.0)), 6)
