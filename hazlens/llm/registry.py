@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from hazlens.llm import bpe, exact_dedup, line_dedup, neighbours, packing, quality, secret_scan, simhash, toxicity, url_rules
+from hazlens.llm import bpe, conversations, exact_dedup, filter_audit, line_dedup, neighbours, packing, quality, secret_scan, simhash, topk, toxicity, url_rules
 from hazlens.session import table
 
 
@@ -54,6 +54,18 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.audited(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_neighbours": op2_neighbours,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE = {
@@ -112,4 +127,7 @@ ORACLE = {
                length(t) AS n_chars_left, sha256(t) AS text_sha256
         FROM documents LEFT JOIN whole USING (doc_id)
     """,
+    "op11_exact_top_k": topk.SQL,
+    "op12_conversation_repair": conversations.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
