@@ -225,7 +225,7 @@ def audit_by_hand(docs, labels):
     for i, text, _ in docs:
         if i is not None:
             least[text or ""] = min(i, least.get(text or "", i))
-    good, toxic = ({i for i, *x in labels if x[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *x in labels if x[k] == 1 and i is not None} for k in (0, 1))
     rows = []
     for i, text, source in docs:
         text = text or ""
