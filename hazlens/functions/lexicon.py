@@ -55,6 +55,48 @@ FIXTURE_ENERGY = r"(?i)\b(trash|scum|idiot|clown|moron)\b"
 FIXTURE_CONTROL = r"(?i)\b(loser|worthless|pathetic|stupid|disgusting)\b"
 
 
+def expanded(pattern: str) -> list[str]:
+    """The phrases that a stem stands for, in the order in which a search prefers them.
+
+    Stems hold letters, alternatives in groups, classes of letters and parts that may be missing.
+    """
+
+    def alternatives(at: int) -> tuple[list[str], int]:
+        found, here = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            if c == "|":
+                found, here, at = found + here, [""], at + 1
+                continue
+            if c == "(":
+                options, at = alternatives(at + (3 if pattern.startswith("(?:", at) else 1))
+                at += 1
+            elif c == "[":
+                end = pattern.index("]", at)
+                options, at = list(pattern[at + 1 : end]), end + 1
+            elif c in "\\*+{}^$.?":
+                raise ValueError(f"{pattern!r} isn't a set of phrases")
+            else:
+                options, at = [c], at + 1
+            if pattern[at : at + 1] == "?":
+                options, at = [*options, ""], at + 1
+            here = [a + b for a in here for b in options]
+        return found + here, at
+
+    return list(dict.fromkeys(alternatives(0)[0]))
+
+
+def phrases(lexicon: list[Entry]) -> list[tuple[str, int, str]]:
+    """(rule_id, rank, phrase) of all that the entries' patterns find; of a rule's phrases at one place the least rank counts."""
+    head, tail = r"(?i)\b(", r")\b"
+    out = []
+    for e in lexicon:
+        if not e.pattern.startswith(head) or not e.pattern.endswith(tail):
+            raise ValueError(f"{e.pattern!r} isn't a set of phrases")
+        out += [(e.rule_id, rank, p) for rank, p in enumerate(expanded(e.pattern[len(head) : -len(tail)]))]
+    return out
+
+
 def taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "rule_id string, rule_name string")
 

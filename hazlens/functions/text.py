@@ -37,3 +37,35 @@ def sentences(text: Column) -> Column:
 
 def html_escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def pieces(text: Column, edge: str = r"\b") -> Column:
+    """The text cut at every edge of a word: words and what lies between them in turn."""
+    return F.split(text, edge, -1)
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a variable, so that ``value`` is worked out once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Pieces whose places are summed one by one; blocks of them are moved as a whole, so no list grows with the text.
+BLOCK = 64
+
+
+def starts(parts: Column) -> Column:
+    """Where each of the pieces begins in their text, from 1."""
+    empty = F.array().cast("array<int>")
+    summed = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda d, x: F.struct((d["at"] + x).alias("at"), F.concat(d["out"], F.array(d["at"])).alias("out")))
+    last = F.floor((F.size(parts) - 1) / BLOCK).cast("int")
+    cut = lambda lengths: F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: summed(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    moved = lambda blocks: F.zip_with(blocks, summed(F.transform(blocks, lambda b: b["at"]))["out"], lambda b, base: F.transform(b["out"], lambda x: x + base + 1))
+    return bound(F.transform(parts, lambda p: F.length(p)), lambda lengths: bound(cut(lengths), lambda blocks: F.flatten(moved(blocks))))
+
+
+LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lowered(text: Column) -> Column:
+    """A to Z in lower case and nothing else, as a pattern that ignores case takes it."""
+    return F.translate(text, *LOWER)

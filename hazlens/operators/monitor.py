@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazlens.staging import staged
+
 EMPTY = 1e-6
 
 
@@ -38,9 +40,9 @@ def running(counts: DataFrame, at: str, columns: list[str]) -> DataFrame:
     """``counts`` with before_* and all_* of each column: its sum over the rows with a smaller ``at``, and over all rows.
 
     ``at`` is distinct. Each range of values is summed by itself and moved by the totals of those
-    before it, so no task sees all rows.
+    before it, so no task sees all rows. The ranges are written, so that both uses of them agree.
     """
-    ranged = counts.repartitionByRange(at).withColumn("__part", F.spark_partition_id())
+    ranged = staged(counts.repartitionByRange(at).withColumn("__part", F.spark_partition_id()), "ranges")
     parts = ranged.groupBy("__part").agg(*(F.sum(c).alias(c) for c in columns))
     # as many rows as there are ranges
     before, whole = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))

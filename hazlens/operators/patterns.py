@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazlens.staging import staged
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -78,8 +80,8 @@ def density(rows: DataFrame, by: list[str], precursor: Column, min_n: int = 1) -
 
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     """``rows`` with their place in a total order. Each range of the order is numbered by itself and moved by the sizes
-    of those before it, so no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    of those before it, so no task sees all rows. The ranges are written, so that both uses of them agree."""
+    ranged = staged(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     # as many rows as there are ranges
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
