@@ -19,7 +19,12 @@ Encoding. Each prefix of a word has one correct tokenization, so each position
 of a word is reached by exactly one arc. Positions are taken from left to
 right, for all words of a batch at once: from the state at a position a trie of
 the vocabulary gives the tokens that begin there, and the arcs that exist mark
-where they end. The work is linear in the length of a word.
+where they end. The work is linear in the length of a word. A word of any length
+is cut into pieces that begin a little before their place and are worked on side by side,
+as if words began there. What is right at a position follows from the positions of one
+longest token before it, so where a piece agrees with the one before it over that
+length, all after it is right as well; where it doesn't, the piece is gone through anew, one
+position after the other.
 
 Decoding emits the bytes of each arc's label.
 
@@ -43,9 +48,9 @@ from pyspark.sql import DataFrame
 
 from hazlens.llm import runs
 
-#: Words longer than this are encoded one by one, the others in batches.
-LONG_WORD = 48
-WORDS_AT_ONCE = 1 << 16
+#: Letters of a piece that a longer word is cut into; and cells (words by letters) worked on at once.
+PIECE = 1024
+CELLS_AT_ONCE = 3 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -179,30 +184,28 @@ class Automaton:
         """Ids of all words in turn and the offset of each; a word is symbols[ends[k]:ends[k + 1]]."""
         sizes = ends[1:] - ends[:-1]
         order = np.argsort(sizes, kind="stable")
-        short = order[: np.searchsorted(sizes[order], LONG_WORD, side="right")]
+        many = int(np.searchsorted(sizes[order], PIECE, side="right"))
         ids, owner = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(short), WORDS_AT_ONCE):
-            part = short[at : at + WORDS_AT_ONCE]
-            found, rows = self._batch(symbols, ends[:-1][part], sizes[part])
+        for part in _portions(order[:many], sizes):
+            found, rows = self._back(self._ends(symbols, ends[:-1][part], sizes[part]), sizes[part])
             ids.append(found)
             owner.append(part[rows])
-        for k in order[len(short) :].tolist():
+        for k in order[many:].tolist():
             ids.append(self._long(symbols[ends[k] : ends[k + 1]]))
             owner.append(np.full(len(ids[-1]), k, np.int64))
         whole = np.concatenate(owner)
         back = np.argsort(whole, kind="stable")
         return np.concatenate(ids)[back], np.concatenate([[0], np.cumsum(np.bincount(whole, minlength=len(sizes)))]).astype(np.int64)
 
-    def _batch(self, whole: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and the word of each, for words in order of their sizes."""
+    def _ends(self, whole: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The token that ends at each position of each word, for words in order of their sizes."""
         n, longest = len(sizes), int(sizes[-1]) if len(sizes) else 0
-        symbols = np.zeros((n, longest + 1), np.int64)
+        symbols = np.zeros((n, longest + 1), np.int16)
         rows, shift = np.repeat(np.arange(n), sizes), np.cumsum(sizes) - sizes
         place = np.arange(len(rows)) - np.repeat(shift, sizes)
         symbols[rows, place] = whole[np.repeat(first, sizes) + place]
         token = np.full((n, longest + 1), -1, np.int32)
         token[:, 0] = 0
-        column = self.column[symbols]
         for i in range(longest):
             rows = np.arange(np.searchsorted(sizes, i, side="right"), n)
             state = self.target[token[rows, i]] if i else np.zeros(len(rows), np.int32)
@@ -215,11 +218,14 @@ class Automaton:
                         new = new[self.has_arc(state[new], t[new])]
                     token[rows[new], j] = t[new]
                 on = np.flatnonzero((node < self.inner) & (sizes[rows] > j))
-                node, rows, state = self.goto[node[on], column[rows[on], j]], rows[on], state[on]
+                node, rows, state = self.goto[node[on], self.column[symbols[rows[on], j]]], rows[on], state[on]
                 on = np.flatnonzero(node >= 0)
                 node, rows, state, j = node[on], rows[on], state[on], j + 1
-        # back from the end of each word along the arcs
-        at, rows, steps = sizes.copy(), np.arange(n), []
+        return token
+
+    def _back(self, token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and the word of each, back from the end of each word along the arcs."""
+        at, rows, steps = sizes.copy(), np.arange(len(sizes)), []
         while len(rows := rows[at[rows] > 0]):
             t = token[rows, at[rows]]
             steps.append((rows, t))
@@ -230,31 +236,95 @@ class Automaton:
         return ids.astype(np.uint32), rows
 
     def _long(self, word: np.ndarray) -> np.ndarray:
-        """One word of any length."""
-        n = len(word)
+        """One word of any length, in pieces."""
+        n, reach = len(word), int(self.size.max())
+        # a multiple of any power of two that a token repeats a letter by
+        lead = -(-2 * reach // 128) * 128
+        cuts = np.arange(0, n, PIECE)
+        first = np.maximum(cuts - lead, 0)
+        size = np.minimum(cuts + PIECE, n) - first
         token = np.full(n + 1, -1, np.int32)
-        symbols = word.tolist()
-        for i in range(n):
-            state, node, j = (int(self.target[token[i]]) if i else 0), int(self.root[symbols[i]]), i + 1
-            ends, found = [], []
-            while node >= 0:
-                if self.token_at[node] >= 0 and token[j] < 0:
-                    ends.append(j)
-                    found.append(int(self.token_at[node]))
-                if j == n or node >= self.inner:
-                    break
-                node = int(self.goto[node, self.column[symbols[j]]])
-                j += 1
-            if found:
-                t = np.array(found, np.int32)
-                ok = self.has_arc(np.full(len(t), state, np.int32), t)
-                token[np.array(ends)[ok]] = t[ok]
+        token[0] = 0
+        order = np.argsort(size, kind="stable")
+        place = {}
+        for part in _portions(order, size):
+            found = self._ends(word, first[part], size[part])
+            # a piece knows what ends in its own part and one longest token before it
+            place.update({int(k): found[r, max(0, int(cuts[k] - first[k]) - reach) : int(size[k]) + 1].copy() for r, k in enumerate(part)})
+        symbols = None
+        for k, cut in enumerate(cuts.tolist()):
+            end, own = int(first[k] + size[k]), place.pop(k)
+            known = len(own) - (end - cut) - 1
+            if k == 0:
+                token[: end + 1] = own
+            elif (own[1 : known + 1] == token[cut - known + 1 : cut + 1]).all():
+                token[cut + 1 : end + 1] = own[known + 1 :]
+            else:
+                symbols = word.tolist() if symbols is None else symbols
+                self._anew(symbols, token, cut, end)
         ids, at = [], n
+        size, token = self.size, token.tolist()
         while at:
-            ids.append(int(token[at]))
-            at -= int(self.size[ids[-1]])
+            ids.append(token[at])
+            at -= int(size[ids[-1]])
         return np.array(ids[::-1], np.uint32)
 
+    def _anew(self, symbols: list[int], token: np.ndarray, cut: int, end: int) -> None:
+        """What ends behind ``cut`` and up to ``end``, one position after the other."""
+        low = max(0, cut - int(self.size.max()))
+        known = token[low : cut + 1].tolist() + [-1] * (end - cut)
+        target, root, goto, token_at, column = (memoryview(np.ascontiguousarray(x)) for x in (self.target, self.root, self.goto.reshape(-1), self.token_at, self.column))
+        wide = self.goto.shape[1]
+        has = self._scalar()
+        for i in range(low, end):
+            state, node, j = (target[known[i - low]] if i else 0), root[symbols[i]], i + 1
+            while node >= 0:
+                t = token_at[node]
+                if t >= 0 and known[j - low] < 0 and has(state, t):
+                    known[j - low] = t
+                if j == end or node >= self.inner:
+                    break
+                node = goto[node * wide + column[symbols[j]]]
+                j += 1
+        token[cut + 1 : end + 1] = known[cut + 1 - low :]
+
+    def _scalar(self):
+        """:meth:`has_arc` of one state and token."""
+        key_at, time_at, time, left = (memoryview(x) for x in (self.key_at, self.time_at, self.time, self.left))
+        shift, last, whole = int(self.shift), len(self.key_at) - 1, (1 << 64) - 1
+
+        def has(state: int, t: int) -> bool:
+            if not state:
+                return True
+            before = 1 << 29
+            while True:
+                key = state << 20 | t
+                slot = (key * 0x9E3779B97F4A7C15 & whole) >> shift
+                while (there := key_at[slot]) >= 0:
+                    if there == key:
+                        if time_at[slot] <= before:
+                            return False
+                        break
+                    slot = slot + 1 & last
+                before = time[t]
+                if before <= 0:
+                    return True
+                t = left[t]
+
+        return has
+
+
+def _portions(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Words in order of their sizes, as many at once as cells allow."""
+    at = 0
+    while at < len(order):
+        n = 1
+        # the last of a portion is the widest
+        while at + n < len(order) and 2 * n * (int(sizes[order[min(at + 2 * n, len(order)) - 1]]) + 1) <= CELLS_AT_ONCE:
+            n *= 2
+        yield order[at : at + n]
+        at += n
+
 
 def load(path: str) -> tuple[Automaton, dict[str, int], np.ndarray, np.ndarray]:
     """Automaton, special tokens, and the bytes of all labels with the offset of each id, of a byte-level vocabulary file."""
