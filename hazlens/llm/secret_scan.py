@@ -48,9 +48,9 @@ KINDS = ("assign", "access", "hex", "random")
 #: A run to be scored: 20 to any number of token letters.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Letters that join the names and values of a run.
-JOINS = re.compile(r"[+/_=-]")
 LETTERS = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
+#: From here on letters join the names and values of a run.
+FIRST_JOIN = LETTERS.index("+")
 SAMPLE_SIZE = 4000
 
 # Common words of identifiers, paths and plain text, from which the ordinary samples are made.
@@ -149,13 +149,15 @@ class Markov:
         sums = np.concatenate([[0.0], np.cumsum(ratios)])
         over = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] > WINDOW * self.threshold)
         out: list[tuple[int, int]] = []
+        joins = np.flatnonzero(self._codes(s) >= FIRST_JOIN) if len(over) else over
         for windows in np.split(over, np.flatnonzero(np.diff(over) > WINDOW) + 1) if len(over) else []:
             part = sums[windows[0] : windows[-1] + WINDOW + 1]
             end = int(np.argmax(part - np.minimum.accumulate(part)))
             begin = int(windows[0]) + int(np.argmin(part[: end + 1]))
             end += int(windows[0])
-            begin = max((m.end() for m in JOINS.finditer(s, 0, begin)), default=0)
-            end = m.start() if (m := JOINS.search(s, end)) else len(s)
+            before, after = np.searchsorted(joins, [begin, end])
+            begin = int(joins[before - 1]) + 1 if before else 0
+            end = int(joins[after]) if after < len(joins) else len(s)
             if out and begin <= out[-1][1]:
                 begin = out.pop()[0]
             out.append((begin, end))
@@ -177,16 +179,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, base: list[tuple[int, int, int]], model: Markov) -> list[tuple[int, int, int]]:
     """What the models call random in the runs, outside the base spans."""
+    # base spans that overlap are one, so that a run looks at its own alone
+    taken: list[list[int]] = []
+    for a, _, b in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     out, k = [], 0
     for m in RUN.finditer(text):
-        while k < len(base) and base[k][2] <= m.start():
+        while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        at, free = m.start(), []
-        for a, _, b in base[k:]:
-            if a >= m.end():
-                break
-            free.append((at, a))
-            at = max(at, b)
+        at, free, j = m.start(), [], k
+        while j < len(taken) and taken[j][0] < m.end():
+            free.append((at, taken[j][0]))
+            at, j = max(at, taken[j][1]), j + 1
         for begin, end in [*free, (at, m.end())]:
             if end - begin >= WINDOW:
                 out += [(begin + a, 3, begin + b) for a, b in model.stretches(text[begin:end])]
