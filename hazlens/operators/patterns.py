@@ -89,6 +89,13 @@ def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     return ranged.withColumn("__at", inside).join(F.broadcast(shift), "__part").withColumn("place", (F.col("__at") + F.col("__shift")).cast("int")).drop("__part", "__at", "__shift")
 
 
+def changed(series: DataFrame, at: str, value: str) -> DataFrame:
+    """``series``, one row a value of ``at``, with the change of ``value`` against the row before; of any length, as no task sees all of it."""
+    rows = staged(placed(series, [F.col(at)]), "placed")
+    before = rows.select((F.col("place") + 1).alias("place"), F.col(value).alias("__before"))
+    return rows.join(before, "place", "left").withColumn("change", F.col(value) - F.col("__before")).drop("place", "__before")
+
+
 def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; ranks are limited before rows are exchanged."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
@@ -122,6 +129,59 @@ def transitions(rows: DataFrame, by: str, at: list[str], state: str) -> DataFram
     return steps.groupBy("state", "next_state").agg(F.count("*").alias("n"))
 
 
+def chains(rows: DataFrame, by: str, at: list[str], state: str, steps: list[str], days: int) -> DataFrame:
+    """Each row of the last of ``steps`` that ends a chain of them in order within ``days``: its group and ``at``, and ``began``, the latest time such a chain can begin.
+
+    ``at`` is a time and what makes it distinct in a group. A running maximum carries along, for each step,
+    the latest beginning of a chain that has come so far. A chain lies in one span of ``days`` and the one before it,
+    so a row goes to its own span and, as a mark, to the next: two spans a task at most, however
+    many rows a group has. Rows without a time, a group or one of the states take no part.
+    """
+    span = days * 86_400_000_000
+    ts = F.unix_micros(F.col(at[0]).cast("timestamp"))
+    keep = rows.where(F.col(state).isin(steps) & F.col(by).isNotNull() & F.col(at[0]).isNotNull()).select(by, *at, F.col(state).alias("__s"), ts.alias("__at"))
+    own = keep.withColumns({"__span": F.floor(F.col("__at") / span).cast("long"), "__mark": F.lit(False)})
+    # the last step of a chain is looked for in its own span alone
+    marks = own.where(F.col("__s").isin(steps[:-1])).withColumns({"__span": F.col("__span") + 1, "__mark": F.lit(True)})
+    both = own.unionByName(marks)
+    order = Window.partitionBy(by, "__span").orderBy(*at)
+    begun = F.when(F.col("__s") == steps[0], F.col("__at"))
+    for step in steps[1:]:
+        # what had come this far before this row
+        both = both.withColumn("__b", begun).withColumn("__so", F.max("__b").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        begun = F.when(F.col("__s") == step, F.col("__so"))
+    ended = both.withColumn("__began", begun).where(~F.col("__mark") & (F.col("__s") == steps[-1]) & (F.col("__began") >= F.col("__at") - span))
+    return ended.select(by, *at, F.timestamp_micros("__began").alias("began"))
+
+
+def interaction(rows: DataFrame, dimensions: list[str]) -> DataFrame:
+    """n, expected, lift and g of each combination of the dimensions that occurs, against their independence.
+
+    All margins come from one pass of grouping sets over the counted combinations. ``g`` is the likelihood ratio of
+    the combination and the rest, with one degree of freedom. Null is a value of a dimension like any other.
+    """
+    cells = staged(rows.groupBy(*dimensions).agg(F.count("*").alias("n")), "cells")
+    sets = [[F.col(d)] for d in dimensions]
+    margins = cells.groupingSets([*sets, []], *dimensions).agg(F.grouping_id(*dimensions).alias("__g"), F.sum("n").alias("m"))
+    margins = staged(margins, "margins")
+    width = len(dimensions)
+    alone = lambda k: (1 << width) - 1 - (1 << (width - 1 - k))
+    out = cells
+    for k, d in enumerate(dimensions):
+        of = margins.where(F.col("__g") == alone(k)).select(F.col(d).alias("__v"), F.col("m").alias(f"__m{k}"))
+        out = out.join(of, F.col(d).eqNullSafe(F.col("__v"))).drop("__v")
+    total = margins.where(F.col("__g") == (1 << width) - 1).select(F.col("m").alias("__all"))  # one row
+    out = out.crossJoin(F.broadcast(total))
+    n, whole = F.col("n").cast("double"), F.col("__all").cast("double")
+    expected = whole
+    for k in range(width):
+        expected = expected * (F.col(f"__m{k}") / whole)
+    out = out.withColumn("expected", expected)
+    e = F.col("expected")
+    part = lambda o, x: F.when((o > 0) & (x > 0), o * F.log(o / x)).otherwise(0.0)
+    return out.select(*dimensions, "n", "expected", (n / e).alias("lift"), (2 * (part(n, e) + part(whole - n, whole - e))).alias("g"))
+
+
 def contributors(rows: DataFrame, by: list[str], who: str, approximate: bool = False) -> DataFrame:
     """Distinct contributors by pattern; approximately for very many."""
     count = F.approx_count_distinct(who) if approximate else F.count_distinct(who)

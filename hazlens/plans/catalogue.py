@@ -478,11 +478,9 @@ def feed_health(spark, sf_dir):
 @query(f"WITH {_JUDGED}, c AS (SELECT floor(doc_id / 200)::BIGINT AS period, {_COUNTS} FROM judged GROUP BY 1), l AS (SELECT period, tp, fp, fn, tn, {_PRF} FROM c) SELECT period, tp, fp, fn, tn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, round(recall - lag(recall) OVER (ORDER BY period), 9) AS recall_change FROM l")
 def perf_by_period(spark, sf_dir):
     """The labels have no dates: runs of 200 document numbers stand for periods."""
-    from pyspark.sql import Window
-
     rows = _judged(spark, sf_dir).withColumn("period", F.floor(F.col("doc_id") / 200).cast("long"))
-    out = evaluate.scores(rows, "toxic", "pred", ["period"])
-    return _ROUND(out.withColumn("recall_change", F.col("recall") - F.lag("recall").over(Window.orderBy("period"))), "precision", "recall", "f1", "recall_change")
+    out = patterns.changed(evaluate.scores(rows, "toxic", "pred", ["period"]), "period", "recall")
+    return _ROUND(out.withColumnRenamed("change", "recall_change"), "precision", "recall", "f1", "recall_change")
 
 
 @query(f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazlens.functions import lexicon as lex
 from hazlens.functions import text as words_of
-from hazlens.operators import attribution, calibrate, classify, labelmodel, phrases, scope, tagging
+from hazlens.operators import attribution, calibrate, classify, dedup, labelmodel, patterns, phrases, scope, tagging
 from hazlens.plans import catalogue
 from hazlens.plans.registry import ORACLE, query
 from hazlens.session import table
@@ -185,3 +185,51 @@ def stream_repeats_within(spark, sf_dir):
     out = alerts.within_days(catalogue._stream(spark, sf_dir), "user_id", "ts", "event_id", 3, 8)
     found = alerts.settled(feeds.run_now(out, catalogue._folder(spark), "update"))
     return found.select("key", "id", F.col("at").cast("timestamp_ntz").alias("at"), "n")
+
+
+# ---- clusters, chains and interactions ---------------------------------------------------------------------
+
+
+_PAIRS = ORACLE["jaccard_near_dup"].strip().removeprefix("WITH ")
+
+
+@query(f"""
+    WITH RECURSIVE pairs AS (WITH {_PAIRS}), names AS (SELECT text, min(doc_id) AS name, count(*) AS copies FROM documents GROUP BY text),
+    links AS (SELECT key_a AS a, key_b AS b FROM pairs UNION ALL SELECT key_b, key_a FROM pairs),
+    reach AS (SELECT name AS a, name AS b FROM names UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a AS name, min(b) AS cluster, count(*) AS texts FROM reach GROUP BY a)
+    SELECT doc_id, cluster, copies, texts FROM documents JOIN names USING (text) JOIN least USING (name)
+""")
+def near_duplicate_clusters(spark, sf_dir):
+    """Every document's cluster of near-duplicates, without the pairs within it."""
+    return dedup.clusters(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+STEPS, WITHIN = ["view", "click", "purchase"], 2
+
+
+@query(f"""
+    SELECT c.user_id, c.ts, c.event_id, max(a.ts) AS began FROM events a
+    JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts <= a.ts + INTERVAL {WITHIN} DAY
+    JOIN events c ON b.user_id = c.user_id AND (c.ts, c.event_id) > (b.ts, b.event_id) AND c.ts <= a.ts + INTERVAL {WITHIN} DAY
+    WHERE a.event_type = '{STEPS[0]}' AND b.event_type = '{STEPS[1]}' AND c.event_type = '{STEPS[2]}' GROUP BY ALL
+""")
+def chains_within_days(spark, sf_dir):
+    """Purchases that end a chain of view, click and purchase of one user within two days."""
+    found = patterns.chains(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", STEPS, WITHIN)
+    return found.withColumn("began", F.col("began").cast("timestamp_ntz"))
+
+
+@query(f"""
+    WITH {catalogue._TAGS}, r AS (SELECT rule_id, source, lang FROM tags JOIN documents USING (doc_id)),
+    c AS (SELECT rule_id, source, lang, count(*) AS n FROM r GROUP BY ALL),
+    m AS (SELECT *, sum(n) OVER (PARTITION BY rule_id) AS a, sum(n) OVER (PARTITION BY source) AS b, sum(n) OVER (PARTITION BY lang) AS l, sum(n) OVER () AS t FROM c),
+    e AS (SELECT *, a::DOUBLE * b * l / t / t AS expected FROM m)
+    SELECT rule_id, source, lang, n, round(expected, 9) AS expected, round(n / expected, 9) AS lift,
+           round(2 * (n * ln(n / expected) + CASE WHEN t > n THEN (t - n) * ln((t - n) / (t - expected)) ELSE 0 END), 6) AS g FROM e
+""")
+def rule_interactions(spark, sf_dir):
+    """Rule, site and category together: how much oftener than if they had nothing to do with each other."""
+    tagged = table(spark, sf_dir, "documents").select("source", "lang", F.explode(tagging.rules_of(F.col("text"), lex.FIXTURE)).alias("rule_id"))
+    out = patterns.interaction(tagged, ["rule_id", "source", "lang"])
+    return _ROUND(out, "expected", "lift").withColumn("g", F.round("g", 6))
