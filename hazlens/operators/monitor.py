@@ -73,3 +73,41 @@ def score_stability(old: DataFrame, new: DataFrame, score: str, bins: int = 10)
     """Population stability index of a model's scores, by bin of the score."""
     at = lambda df: df.select(F.least(F.floor(F.round(F.col(score) * bins, 6)), F.lit(bins - 1)).cast("long").alias("bin"))
     return stability(at(old), at(new), "bin")
+
+
+#: Size of a quantile sketch: exact up to so many values at least, then within about 1.7 ranks of so many.
+SKETCH = 4096
+
+
+def sketches(rows: DataFrame, ts: str, value: str, size: int = SKETCH) -> DataFrame:
+    """(day, n, sketch): a quantile sketch of each day's values, to be stored once and merged for any period. Days without values have none."""
+    known = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return known.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), size).alias("sketch"))
+
+
+def merged(daily: DataFrame, period: Column, size: int = SKETCH) -> DataFrame:
+    """(n, sketch) of the days of a period, in one row; none for a period without values."""
+    return daily.where(period).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("sketch")).where("n is not null")
+
+
+def quantile_drift(daily: DataFrame, old: Column, new: Column, bins: int = 10, size: int = SKETCH) -> DataFrame:
+    """(bin, upper, p, q, psi): population stability by the old period's quantiles, from stored sketches alone.
+
+    Bins lie between neighbouring quantiles of the old period, ``upper`` included; equal quantiles are one bin, and
+    the last has no upper end. Their psi sum to the index. An empty period gives no rows.
+    """
+    cuts = F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    a = staged(merged(daily, old, size).select(F.col("sketch").alias("a")), "old")
+    b = merged(daily, new, size).select(F.col("sketch").alias("b"))
+    found = a.select(F.kll_sketch_get_quantile_double("a", cuts)).first()
+    # the edges are fewer than the bins; ranks are asked for literal values
+    edges = F.array(*map(F.lit, sorted(set(found[0])))) if found else F.array().cast("array<double>")
+    both = a.crossJoin(b)  # a row each at most
+    if not found:
+        both = both.limit(0)
+    ranks = both.select(edges.alias("edges"), *(F.concat(F.array(F.lit(0.0)), F.kll_sketch_get_rank_double(s, edges), F.array(F.lit(1.0))).alias(f"r{s}") for s in "ab"))
+    at = F.explode(F.sequence(F.lit(1), F.size("edges") + 1)).alias("bin")
+    rows = ranks.select("*", at)
+    step = lambda r: F.greatest(F.element_at(r, F.col("bin") + 1) - F.element_at(r, F.col("bin")), F.lit(EMPTY))
+    rows = rows.select("bin", F.get("edges", F.col("bin") - 1).alias("upper"), step("ra").alias("p"), step("rb").alias("q"))
+    return rows.withColumn("psi", (F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p")))

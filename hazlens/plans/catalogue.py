@@ -663,11 +663,20 @@ def tuned_penalty(spark, sf_dir):
     return spark.createDataFrame([(float(k), float(v)) for k, v in found.items()], "penalty double, area double")
 
 
-@query()
+_BASKETS = "days AS (SELECT user_id, ts::DATE AS day, event_type AS x, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS i FROM events), z AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, day FROM days))"
+
+
+@query(f"""
+    WITH {_BASKETS}, p1 AS (SELECT DISTINCT user_id, day, x AS s FROM days),
+    p2 AS (SELECT DISTINCT a.user_id, a.day, a.x || '>' || b.x AS s FROM days a JOIN days b ON a.user_id = b.user_id AND a.day = b.day AND a.i < b.i),
+    p3 AS (SELECT DISTINCT a.user_id, a.day, a.x || '>' || b.x || '>' || c.x AS s FROM days a JOIN days b ON a.user_id = b.user_id AND a.day = b.day AND a.i < b.i JOIN days c ON b.user_id = c.user_id AND b.day = c.day AND b.i < c.i)
+    SELECT s AS sequence, count(*) AS freq FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY s HAVING count(*) >= (SELECT ceil(0.1 * n) FROM z)
+""")
 def sequence_patterns(spark, sf_dir):
     """Frequent sequences of event types in a user's day."""
     days = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
-    return patterns.sequences(days.select(F.transform("e", lambda x: F.array(x["event_type"])).alias("sequence")), "sequence", 0.1, 3)
+    found = patterns.sequences(days.select(F.transform("e", lambda x: F.array(x["event_type"])).alias("sequence")), "sequence", 0.1, 3)
+    return found.select(F.array_join(F.flatten("sequence"), ">").alias("sequence"), "freq")
 
 
 @query()
@@ -706,10 +715,22 @@ def topic_clusters(spark, sf_dir):
     return patterns.cluster_summary(clustered, "words", F.col("toxic") == 1)
 
 
-@query()
+@query(f"""
+    WITH {_BASKETS}, kinds AS (SELECT x, 1 << (row_number() OVER (ORDER BY x) - 1)::INT AS bit FROM (SELECT DISTINCT x FROM days)),
+    baskets AS (SELECT user_id, day, bit_or(bit) AS has FROM days JOIN kinds USING (x) GROUP BY ALL),
+    sets AS (SELECT s, count(*) AS freq FROM baskets, (SELECT unnest(range(1, (SELECT 1 << count(*) FROM kinds)))::INT AS s) WHERE has & s = s GROUP BY s),
+    often AS (SELECT s, freq FROM sets WHERE freq >= (SELECT ceil(0.05 * n) FROM z)),
+    rules AS (SELECT w.s - k.bit AS ante, k.x AS consequent, w.freq / a.freq AS confidence, w.freq / a.freq / (c.freq / n) AS lift, w.freq / n AS support
+              FROM often w JOIN kinds k ON w.s & k.bit <> 0 AND w.s <> k.bit JOIN often a ON a.s = w.s - k.bit JOIN often c ON c.s = k.bit, z)
+    SELECT (SELECT string_agg(x, ',' ORDER BY x) FROM kinds WHERE ante & bit <> 0) AS antecedent, consequent, round(confidence, 9) AS confidence, round(lift, 9) AS lift, round(support, 9) AS support
+    FROM rules WHERE confidence >= 0.3
+""")
 def fpgrowth_rules(spark, sf_dir):
+    """Event types of a user's day that go together; a day has no more items than there are types."""
     baskets = _events(spark, sf_dir).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("items"))
-    return patterns.frequent(baskets, "items", 0.05, 0.3).associationRules
+    found = patterns.frequent(baskets, "items", 0.05, 0.3).associationRules
+    found = found.select(F.array_join(F.array_sort("antecedent"), ",").alias("antecedent"), F.col("consequent")[0].alias("consequent"), "confidence", "lift", "support")
+    return _ROUND(found, "confidence", "lift", "support")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hazlens.functions import lexicon as lex
 from hazlens.functions import text as words_of
-from hazlens.operators import attribution, calibrate, classify, dedup, labelmodel, patterns, phrases, scope, tagging
+from hazlens.operators import attribution, calibrate, classify, dedup, labelmodel, monitor, patterns, phrases, scope, tagging
 from hazlens.plans import catalogue
 from hazlens.plans.registry import ORACLE, query
 from hazlens.session import table
@@ -233,3 +233,28 @@ def rule_interactions(spark, sf_dir):
     tagged = table(spark, sf_dir, "documents").select("source", "lang", F.explode(tagging.rules_of(F.col("text"), lex.FIXTURE)).alias("rule_id"))
     out = patterns.interaction(tagged, ["rule_id", "source", "lang"])
     return _ROUND(out, "expected", "lift").withColumn("g", F.round("g", 6))
+
+
+# ---- drift from stored sketches ------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH o AS (SELECT value FROM events WHERE ts < '{catalogue.SPLIT_DAY}'), n AS (SELECT value FROM events WHERE ts >= '{catalogue.SPLIT_DAY}'),
+    c AS (SELECT value, cume_dist() OVER (ORDER BY value) AS d FROM o),
+    e AS (SELECT DISTINCT (SELECT min(value) FROM c WHERE d >= k / 10.0 - 1e-12) AS upper FROM (SELECT unnest(range(1, 10)) AS k)),
+    u AS (SELECT upper FROM e UNION ALL SELECT NULL),
+    b AS (SELECT row_number() OVER (ORDER BY upper NULLS LAST)::INT AS bin, upper, lag(upper) OVER (ORDER BY upper NULLS LAST) AS low FROM u),
+    s AS (SELECT bin, upper, (SELECT count(*) FROM o WHERE (upper IS NULL OR value <= upper) AND (low IS NULL OR value > low)) / (SELECT count(*) FROM o) AS p,
+                 (SELECT count(*) FROM n WHERE (upper IS NULL OR value <= upper) AND (low IS NULL OR value > low)) / (SELECT count(*) FROM n) AS q FROM b),
+    f AS (SELECT bin, upper, greatest(p, 1e-6) AS p, greatest(q, 1e-6) AS q FROM s)
+    SELECT bin, upper, round(p, 9) AS p, round(q, 9) AS q, round((q - p) * ln(q / p), 9) AS psi FROM f
+""")
+def quantile_drift(spark, sf_dir):
+    """Drift of the values by the old period's quantiles, from a sketch a day.
+
+    Sketches of few values are exact, and so the SQL, which counts, holds there; with more values ranks
+    are within the sketches' bound, which the tests check.
+    """
+    daily = monitor.sketches(table(spark, sf_dir, "events"), "ts", "value", 16_384)
+    split = F.lit(catalogue.SPLIT_DAY).cast("date")
+    return _ROUND(monitor.quantile_drift(daily, F.col("day") < split, F.col("day") >= split, 10, 16_384), "p", "q", "psi")
