@@ -240,9 +240,16 @@ def highlight(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(tagging.highlighted(F.col("text"), lex.FIXTURE)).alias("html_md5"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in lex.RULES) + ") AS t(rule_id, rule_name)")
+_TAXONOMY = ", ".join(f"('{a}', '{b}')" for a, b in lex.RULES)
+_SAFETY_HITS = " UNION ALL ".join(f"SELECT '{e.rule_id}' AS rule_id, doc_id FROM documents WHERE regexp_matches(text, '{e.pattern}')" for e in lex.SAFETY)
+
+
+@query(f"SELECT rule_id, rule_name, count(doc_id) AS reports FROM (VALUES {_TAXONOMY}) AS t(rule_id, rule_name) LEFT JOIN ({_SAFETY_HITS}) USING (rule_id) GROUP BY ALL")
 def rule_taxonomy(spark, sf_dir):
-    return lex.taxonomy(spark)
+    """Every rule by name with the reports tagged with it, those without any included."""
+    counts = tagging.tags(_docs(spark, sf_dir), lex.SAFETY, "doc_id", "text").groupBy("rule_id").agg(F.count("*").alias("reports"))
+    # the dimension has as many rows as there are rules
+    return lex.taxonomy(spark).join(counts, "rule_id", "left").select("rule_id", "rule_name", F.coalesce("reports", F.lit(0).cast("long")).alias("reports"))
 
 
 @query(f"WITH {_TAGS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tags)")

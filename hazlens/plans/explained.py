@@ -258,3 +258,19 @@ def quantile_drift(spark, sf_dir):
     daily = monitor.sketches(table(spark, sf_dir, "events"), "ts", "value", 16_384)
     split = F.lit(catalogue.SPLIT_DAY).cast("date")
     return _ROUND(monitor.quantile_drift(daily, F.col("day") < split, F.col("day") >= split, 10, 16_384), "p", "q", "psi")
+
+
+# ---- change points --------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH d AS (SELECT event_type, ts::DATE AS day, count(*) AS v FROM events GROUP BY ALL),
+    t AS (SELECT *, count(*) OVER a AS n, avg(v) OVER a AS mean, stddev_pop(v) OVER a AS sd, sum(v) OVER a AS total, row_number() OVER w AS k, sum(v) OVER w AS c
+          FROM d WINDOW a AS (PARTITION BY event_type), w AS (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(abs(c - k * mean), 9) DESC, day) AS place FROM t WHERE k < n AND sd > 0)
+    SELECT event_type, n, day AS change_at, round(c / k, 9) AS mean_before, round((total - c) / (n - k), 9) AS mean_after, round(abs(c - k * mean) / sd / sqrt(n), 9) AS statistic FROM s WHERE place = 1
+""")
+def change_points(spark, sf_dir):
+    """The day after which the daily number of each type of event changed most."""
+    daily = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("v"))
+    return _ROUND(patterns.change_points(daily, "event_type", "day", "v"), "mean_before", "mean_after", "statistic")

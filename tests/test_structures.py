@@ -1,6 +1,7 @@
 """Clusters, components, chains and interactions against plain loops, with hot groups."""
 
 import collections
+import datetime
 import math
 import random
 
@@ -147,3 +148,22 @@ def test_changes_of_a_long_series(spark):
     series = spark.range(5_000).select((F.col("id") * 3).alias("period"), (F.col("id") * F.col("id")).alias("v"))
     got = {r.period: r.change for r in patterns.changed(series, "period", "v").collect()}
     assert got[0] is None and all(got[3 * k] == 2 * k - 1 for k in range(1, 5_000))
+
+
+def test_change_points_of_planted_series(spark):
+    rng = random.Random(6)
+    rows = []
+    for site, (n, cut, step) in {"a": (900, 400, 3.0), "b": (900, 100, -2.0), None: (300, 150, 4.0)}.items():
+        rows += [(site, k, rng.gauss(5, 1) + (step if k >= cut else 0)) for k in range(n)]
+    rows += [("flat", k, 2.0) for k in range(50)] + [("one", 3, 1.0), ("holes", 1, None), ("holes", None, 1.0)] + [("noise", k, rng.gauss(0, 1)) for k in range(400)]
+    series = spark.createDataFrame([(*r, "x") for r in rows], "site string, k int, v double, n string").select("site", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k")).alias("day"), "v", "n")
+    got = {r.site: r for r in patterns.change_points(series, "site", "day", "v").collect()}
+    assert set(got) == {"a", "b", None, "noise"}
+    for site, cut in (("a", 400), ("b", 100), (None, 150)):
+        own = [v for s, _, v in rows if s == site]
+        sums = [abs(sum(own[: k + 1]) - (k + 1) * sum(own) / len(own)) for k in range(len(own) - 1)]
+        best = sums.index(max(sums))
+        r = got[site]
+        assert (r.change_at - datetime.date(2020, 1, 1)).days == best and abs(best + 1 - cut) < 8
+        assert r.n == len(own) and r.mean_before == pytest.approx(sum(own[: best + 1]) / (best + 1)) and r.statistic > 5
+    assert got["noise"].statistic < 2
