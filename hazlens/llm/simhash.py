@@ -507,13 +507,17 @@ def _edges(dealt: DataFrame, words: int, distance: int, radius: int, parts: int,
     return runs.mapped(sorted_rows, _matched(words, distance, radius, low), "a long, b long").where("a <> b").distinct()
 
 
-def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the least doc_id, of equal rows one.
 
     The distance stands for a similarity of shingle sets: at a share p of differing
     bits cos(pi p) = 2 J / (1 + J). Of 512 bits, 77 are expected to differ at J = 0.8
     with a deviation of 8, so 92 bits take 96 % of such pairs, and 0.3 % at J = 0.6.
+    What fingerprints join is then held to the sets themselves: only links of ``least`` or
+    more count.
     """
+    from hazlens.llm import verified  # which uses this module
+
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
@@ -521,10 +525,13 @@ def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92
     of_doc = scratch.written(of_doc, "fingerprints")
     prints = scratch.written(of_doc.groupBy("node").agg(*(F.first(f"f{k}").alias(f"f{k}") for k in range(words))), "prints")
     roots = components(wide_links(prints, words, distance, prints.count()))
-    # of equal doc_ids with different texts the least text hash stays
-    rooted = of_doc.select("node", "doc_id", "sha").join(scratch.written(_rooted(prints.select("node"), roots, "node"), "rooted"), "node")
+    rooted = scratch.written(_rooted(prints.select("node"), roots, "node"), "rooted")
+    # of a text its rows' least order: of equal doc_ids with different texts the least text hash stays
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("sha").alias("sha"))
-    stay = rooted.groupBy("root").agg(F.min(order).alias("s"))
+    texts = of_doc.groupBy("sha").agg(F.first("node").alias("node"), F.min(order).alias("s"))
+    texts = scratch.written(texts.join(rooted, "node").select("sha", "root", "s"), "rooted-texts")
+    place = verified.places(rows.select("sha", "text"), texts.select("sha", "root"), width, least)
+    stay = texts.join(place, "sha", "left").groupBy(F.coalesce("place", "sha").alias("place")).agg(F.min("s").alias("s"))
     # one key for the join and for equal rows, so that texts are exchanged once
     key = lambda id_, sha: F.concat(F.coalesce(id_.cast("long").cast("string"), F.lit("null")), F.lit(":"), sha)
     stay = scratch.written(stay.select(key(F.col("s.id"), F.col("s.sha")).alias("__key")), "stay")
