@@ -69,6 +69,10 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [np.packbits(count > 1).tobytes()]})
 
 
+#: Rows of one doc_id and text that are written by one task.
+COPIES = 100_000
+
+
 def repeat_filter(hashes: DataFrame, rows: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[int, np.ndarray]:
     """Segments, and the packed bits of the slots that were hit more than once, from a column of hashes."""
     segments = max(1, min(-(-rows * SLOTS_PER_ROW // SEGMENT_SLOTS), max_filter_bytes * 8 // SEGMENT_SLOTS))
@@ -108,7 +112,12 @@ def decisions(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> Data
     hot = groups.where(F.col("group_size") > max(1000, rows // HOT_SHARE))
     large = members.join(F.broadcast(hot), "text_sha256")
     small = members.join(F.broadcast(hot.select("text_sha256")), "text_sha256", "left_anti").join(groups, "text_sha256")
-    grouped = large.unionByName(small).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    met = large.unionByName(small)
+    listed = met.where(F.col("n") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    # very many rows of one doc_id and text are dealt over tasks in runs of ``COPIES``
+    run = met.where(F.col("n") > COPIES).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("text_sha256", "doc_id", "run")
+    dealt = run.withColumn("copy", F.explode(F.sequence(F.col("run") * COPIES + 1, F.least(F.col("n"), (F.col("run") + 1) * COPIES)))).drop("run")
+    grouped = listed.unionByName(dealt)
     return alone.unionByName(
         grouped.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     )

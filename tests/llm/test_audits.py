@@ -15,7 +15,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hazlens.llm import conversations, filter_audit, topk
+from hazlens.llm import conversations, exact_dedup, filter_audit, topk
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<double>, label int, class string, cell string, n long"
@@ -278,3 +278,11 @@ def test_crc_of_the_sql_is_the_usual_one():
     con.execute("CREATE TABLE conversations AS SELECT unnest(range(0, 200)) AS conv_id, 3 AS turn, 'user' AS role, 'a.' AS text")
     got = {r[0] for r in con.execute(conversations.SQL).fetchall() if r[7] == ""}
     assert got == {c for c in range(200) if zlib.crc32(f"{c}:3".encode()) % 20 == 0}
+
+
+def test_very_many_rows_of_one_document_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 10)
+    docs = spark.createDataFrame([(1, "a")] * 35 + [(2, "a")] * 20 + [(3, "b")] * 10 + [(None, "c")] * 11 + [(4, "d")], "doc_id long, text string")
+    rows = exact_dedup.decisions(docs)
+    got = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect())
+    assert got == {(1, 2, 55, False): 35, (2, 2, 55, False): 19, (2, 2, 55, True): 1, (3, 3, 10, False): 9, (3, 3, 10, True): 1, (None, None, 11, False): 10, (None, None, 11, True): 1, (4, 4, 1, True): 1}
