@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hazlens.operators import dedup, graph, patterns
+from hazlens.operators import dedup, graph, patterns, relate
 
 
 def rooted_by_hand(links):
@@ -167,3 +167,16 @@ def test_change_points_of_planted_series(spark):
         assert (r.change_at - datetime.date(2020, 1, 1)).days == best and abs(best + 1 - cut) < 8
         assert r.n == len(own) and r.mean_before == pytest.approx(sum(own[: best + 1]) / (best + 1)) and r.statistic > 5
     assert got["noise"].statistic < 2
+
+
+def test_asof_of_a_hot_group_over_days(spark):
+    rng = random.Random(7)
+    at = lambda: None if rng.random() < 0.02 else rng.randrange(0, 20 * 86_400)
+    left = [(rng.choice(["a"] * 6 + ["b", None]), at(), k) for k in range(800)]
+    right = {(rng.choice(["a", "b", "c", None]), rng.randrange(0, 20 * 86_400)): k for k in range(120)}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    got = {r.id: (r.model, r.v) for r in relate.asof(frame(left, "site string, s long, id long"), frame([(g, t, f"m{k}", k) for (g, t), k in right.items()], "site string, s long, model string, v long"), "site", "ts", ["model", "v"]).collect()}
+    for site, t, k in left:
+        best = max(((s, v) for (g, s), v in right.items() if g == site and t is not None and s <= t), default=None)
+        assert got[k] == ((f"m{best[1]}", best[1]) if best else (None, None))
+    assert len(got) == len(left)
