@@ -530,7 +530,7 @@ def keep_one(docs: DataFrame, width: int = 5, words: int = 8, distance: int = 92
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("sha").alias("sha"))
     texts = of_doc.groupBy("sha").agg(F.first("node").alias("node"), F.min(order).alias("s"))
     texts = scratch.written(texts.join(rooted, "node").select("sha", "root", "s"), "rooted-texts")
-    place = verified.places(rows.select("sha", "text"), texts.select("sha", "root"), width, least)
+    place = verified.places(rows.select("sha", F.col("doc_id").alias("id"), "text"), texts.select("sha", F.col("s.id").alias("id"), "root"), width, least)
     stay = texts.join(place, "sha", "left").groupBy(F.coalesce("place", "sha").alias("place")).agg(F.min("s").alias("s"))
     # one key for the join and for equal rows, so that texts are exchanged once
     key = lambda id_, sha: F.concat(F.coalesce(id_.cast("long").cast("string"), F.lit("null")), F.lit(":"), sha)

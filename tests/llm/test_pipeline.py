@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hazlens.llm import components, packing, registry, scratch, simhash, verified
@@ -121,8 +122,10 @@ def test_groups_are_joined_by_verified_links_alone(spark, local):
             words = [word() if rng.random() < 0.012 else w for w in words]
             rows.append((f"{len(rows):04d}", " ".join(words), root))
     rows += [(f"{len(rows) + k:04d}", t, 99) for k, t in enumerate(["", " ", "\n", "a b c"])]
-    frame = spark.createDataFrame(rows, "sha string, text string, root long")
-    got = {r.sha: r.place for r in verified.places(frame.select("sha", "text"), frame.select("sha", "root"), local=local).collect()}
+    frame = spark.createDataFrame([(*r, k if k % 9 else None) for k, r in enumerate(rows)], "sha string, text string, root long, id long")
+    # every text twice more, under another id and under its own
+    every = frame.select("sha", "id", "text").unionByName(frame.select("sha", "id", "text")).unionByName(frame.select("sha", (F.col("id") + 1000).alias("id"), "text"))
+    got = {r.sha: r.place for r in verified.places(every, frame.select("sha", "id", "root"), local=local).collect()}
     parts = {}
     for sha, text, root in rows:
         near = {p for p, members in parts.items() if any(r == root and similarity(text, t) >= 0.8 for _, t, r in members)}
