@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, NumericType, TimestampNTZType
 
 from hazlens.staging import staged
 
@@ -13,9 +14,14 @@ def asof(left: DataFrame, right: DataFrame, by: str, at: str, take: list[str]) -
 
     ``right`` has one row a group and time. Both sides go through one window as one
     table, so a group costs a sort and no pairs are made. A group is cut into days, and what the days
-    before a day left behind is carried to it, so a group with a third of all rows is worked on a day a task.
+    before a day left behind is carried to it, so a group with a third of all rows is worked on a day a task. Where
+    ``at`` is a number, 86,400 of its units are a day; where it is neither a time nor a number, a group isn't cut.
     """
-    day = F.to_date(at)
+    kind = left.schema[at].dataType
+    if isinstance(kind, NumericType):
+        day = F.floor(F.col(at) / 86_400)
+    else:
+        day = F.to_date(at) if isinstance(kind, DatetimeType | TimestampNTZType) else F.lit(0)
     rows = left.select(by, at, F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*take).alias("r")).schema["r"].dataType).alias("__r"))
     marks = right.select(by, at, F.lit(0).alias("__side"), F.lit(None).cast(rows.schema["__l"].dataType).alias("__l"), F.struct(*take).alias("__r"))
     before = Window.partitionBy(by, "__day").orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)

@@ -180,3 +180,15 @@ def test_asof_of_a_hot_group_over_days(spark):
         best = max(((s, v) for (g, s), v in right.items() if g == site and t is not None and s <= t), default=None)
         assert got[k] == ((f"m{best[1]}", best[1]) if best else (None, None))
     assert len(got) == len(left)
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string", "date"])
+def test_asof_over_any_order(spark, kind):
+    rng = random.Random(8)
+    days = lambda n: [(k, rng.randrange(3), rng.randrange(1_000)) for k in range(n)]
+    left, right = days(200), {(g, t): k for k, g, t in days(60)}
+    made = lambda rows, last: spark.createDataFrame(rows, f"g int, t int, {last} int").withColumn("t", {"date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("t")), "string": F.lpad(F.col("t").cast("string"), 4, "0")}.get(kind, (F.col("t") * 1_000).cast(kind if kind != "date" else "int")))
+    got = {r.id: r.v for r in relate.asof(made([(g, t, k) for k, g, t in left], "id"), made([(g, t, k) for (g, t), k in right.items()], "v"), "g", "t", ["v"]).collect()}
+    for k, g, t in left:
+        best = max(((s, v) for (h, s), v in right.items() if h == g and s <= t), default=(0, None))
+        assert got[k] == best[1]
