@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from hazlens.functions import lexicon as lex
 from hazlens.functions import text as words
 from hazlens.operators import phrases
+from hazlens.staging import staged
 
 #: Kinds of cues: those that deny what follows, what is before, and words that end their reach.
 BEFORE, BEHIND, TURN = "before", "behind", "turn"
@@ -56,6 +57,9 @@ def ends(reports: DataFrame, key: str, text: str) -> DataFrame:
 def judged(evidence: DataFrame, reports: DataFrame, cues: Cues, key: str = "report_id", text: str = "narrative", reach: int = 40) -> DataFrame:
     """``evidence`` (key, rule_id, start, length and more) with negated, cue and cue_start: the cue that denies a span, or null."""
     spark = reports.sparkSession
+    # only reports with evidence are looked through for cues
+    evidence = staged(evidence, "evidence")
+    reports = reports.select(key, text).join(evidence.select(key).distinct(), key, "left_semi")
     said = phrases.evidence(reports, phrases.table(spark, cues.entries()), key, text)
     span = F.struct(F.col("start").alias("start"), (F.col("start") + F.col("length")).alias("end"), F.col("snippet").alias("cue"))
     held = F.struct(*evidence.columns)
