@@ -361,6 +361,7 @@ class ByteCoder:
     #: Added to the last symbol of a word.
     final = 0
 
+    # Fixed value: the pre-tokenizer's pattern, as the vocabulary file's kind defines it.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str) -> None:
@@ -514,6 +515,7 @@ class WordCoder(ByteCoder):
     """Encoder for a vocabulary with word ends: composed, lower-cased words without white space."""
 
     final = 256
+    # Fixed value: likewise.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str) -> None:

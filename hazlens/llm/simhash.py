@@ -107,6 +107,7 @@ def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """A further 64 bits of each hash, by the finalizer of a splitting generator."""
+    # The constants of that generator (SplitMix64).
     z = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & (2**64 - 1))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
