@@ -9,7 +9,7 @@ import importlib.util
 from pyspark.sql import functions as F
 
 from hazlens import session
-from hazlens.functions.lexicon import SAFETY
+from hazlens.functions import lexicon as lex
 from hazlens.operators import classify, evaluate, tagging
 from hazlens.plans import dashboard
 from hazlens.sources import reports, sinks
@@ -36,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
         else:
             sub.add_argument("--model", help="a folder that train wrote; without one the rule of energy and failed control decides")
             sub.add_argument("--threshold", type=float, default=0.5)
+            sub.add_argument("--lexicon", help="JSON lines of rule_id, pattern, weight; ENERGY and CONTROL name the patterns of the rule that decides without a model")
             sub.add_argument("--to", default="parquet", help="of the output")
         if name == "panels":
             sub.add_argument("--split", help="the day between past and present, for drift")
@@ -61,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = session.build(args.master)
     if args.command == "query":
-        from hazlens.plans import catalogue
+        from hazlens.plans import catalogue, explained, served  # noqa: F401  (registers their queries)
 
         known = dict(catalogue.QUERIES)
         if importlib.util.find_spec("__spark_entry__"):
@@ -72,16 +73,18 @@ def main(argv: list[str] | None = None) -> int:
         _train(reports.read(spark, args.input, args.format), args.label, args.output)
         return 0
     model = classify.Ensemble.load(args.model) if args.model else None
+    entries, patterns_of = lex.read(spark, args.lexicon) if args.lexicon else (lex.SAFETY, {})
+    told = {"lexicon": entries, "energy": patterns_of.get("ENERGY", lex.ENERGY), "control_failed": patterns_of.get("CONTROL", lex.CONTROL_FAILED), "model": model, "threshold": args.threshold}
     if args.command == "watch":
-        rows = dashboard.prepared(reports.stream(spark, args.input, fmt=args.format), model=model, threshold=args.threshold)
+        rows = dashboard.prepared(reports.stream(spark, args.input, fmt=args.format), **told)
         trigger = {"processingTime": args.every} if args.every else None
         feeds.start(rows, args.checkpoint, args.output, trigger=trigger, fmt=args.to).awaitTermination()
         return 0
-    rows = dashboard.prepared(reports.read(spark, args.input, args.format), model=model, threshold=args.threshold)
+    rows = dashboard.prepared(reports.read(spark, args.input, args.format), **told)
     if args.command == "score":
         flat = rows.withColumn("rules", F.array_join("rules", ",")).drop("lsr_labels")
         sinks.export(flat, f"{args.output}/scores", args.to)
-        sinks.export(tagging.evidence(rows, SAFETY), f"{args.output}/evidence", args.to)
+        sinks.export(tagging.evidence(rows, entries), f"{args.output}/evidence", args.to)
         return 0
     found = dashboard.panels(rows, split=args.split)
     if args.clusters:

@@ -103,3 +103,17 @@ def taxonomy(spark: SparkSession) -> DataFrame:
 
 def table(spark: SparkSession, lexicon: list[Entry]) -> DataFrame:
     return spark.createDataFrame([(e.rule_id, e.pattern, e.weight) for e in lexicon], "rule_id string, pattern string, weight double")
+
+
+#: Names under which a lexicon file may hold the patterns of the energy and control rule.
+RESERVED = ("ENERGY", "CONTROL")
+
+
+def read(spark: SparkSession, path: str) -> tuple[list[Entry], dict[str, str]]:
+    """A lexicon from JSON lines of rule_id, pattern and weight (1 if missing): its entries, and the reserved patterns by name.
+
+    Patterns become expressions of a plan, so they come to the driver; for more than some hundreds of phrases there is the phrase index.
+    """
+    rows = spark.read.schema("rule_id string, pattern string, weight double").json(path).where("rule_id is not null and pattern is not null").collect()
+    entries = [Entry(r.rule_id, r.pattern, 1.0 if r.weight is None else r.weight) for r in rows if r.rule_id not in RESERVED]
+    return sorted(entries, key=lambda e: e.rule_id), {r.rule_id: r.pattern for r in rows if r.rule_id in RESERVED}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazlens.operators import monitor
+from hazlens.staging import staged
 
 
 def _f1(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -76,3 +77,26 @@ def sweep(rows: DataFrame, label: str, score: str, thresholds: list[float]) -> D
         F.sum(F.when(F.col("reached") < F.col("step"), F.col("y")).otherwise(0)).alias("fn"),
     )
     return out.select("threshold", "tp", "fp", "fn", *_f1(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def crossed_thresholds(rows: DataFrame, label: str, score: str, fold: str, bins: int = 100) -> DataFrame:
+    """(fold, threshold, f1_elsewhere, tp, fp, fn, tn, f1): each fold judged at the threshold that is best for F1 on all others.
+
+    Scores, 0 to 1, are counted in ``bins`` steps first, so what follows is ``bins`` rows a fold whatever the rows. Of
+    equal thresholds the least is taken; rows without a label or score take no part.
+    """
+    at = F.least(F.floor(F.round(F.col(score) * bins, 6)), F.lit(bins - 1)).cast("int")
+    judged = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = judged.groupBy(F.col(fold).alias("fold"), at.alias("bin")).agg(F.count_if(F.col(label) == 1).alias("y"), F.count_if(F.col(label) != 1).alias("n"))
+    counts = staged(counts, "counts")
+    dense = counts.select("fold").distinct().select("fold", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    cells = dense.join(counts, ["fold", "bin"], "left").na.fill(0, ["y", "n"])
+    all_folds, down, whole = Window.partitionBy("bin"), Window.partitionBy("fold").orderBy(F.desc("bin")), Window.partitionBy("fold")
+    cells = cells.withColumns({"oy": F.sum("y").over(all_folds) - F.col("y"), "on": F.sum("n").over(all_folds) - F.col("n")})
+    run = lambda c: F.sum(c).over(down)
+    cells = cells.select("fold", "bin", run("y").alias("tp"), run("n").alias("fp"), F.sum("y").over(whole).alias("y"), F.sum("n").over(whole).alias("n"), run("oy").alias("otp"), run("on").alias("ofp"), F.sum("oy").over(whole).alias("oy"))
+    # 2 tp + fp + fn is all predicted and all true
+    elsewhere = F.coalesce(F.try_divide(2.0 * F.col("otp"), F.col("otp") + F.col("ofp") + F.col("oy")), F.lit(0.0))
+    best = cells.withColumn("f1_elsewhere", elsewhere).groupBy("fold").agg(F.max_by(F.struct("bin", "f1_elsewhere", "tp", "fp", "y", "n"), F.struct(F.round("f1_elsewhere", 12), -F.col("bin"))).alias("r")).select("fold", "r.*")
+    fn, tn = F.col("y") - F.col("tp"), F.col("n") - F.col("fp")
+    return best.select("fold", (F.col("bin") / bins).alias("threshold"), "f1_elsewhere", "tp", "fp", fn.alias("fn"), tn.alias("tn"), F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("y")).alias("f1"))

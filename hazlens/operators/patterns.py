@@ -260,6 +260,23 @@ def clusters(rows: DataFrame, features: str, k: int, seed: int = 1) -> DataFrame
     return model.transform(rows)
 
 
+def term_clusters(rows: DataFrame, key: str, words: Column, least: int = 2, most: float = 0.5) -> DataFrame:
+    """(key, cluster_id, weight): every report put under the word that tells it best from the others.
+
+    That is the word with the largest count times log inverse frequency, of the words in at least ``least`` reports and at
+    most a share ``most`` of them; ties go to the first word in order. Reports without such a word have a null cluster. Counts are
+    made where a report lies, since all its words are in one row; keys are distinct.
+    """
+    counts = staged(rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "counts")
+    whole = rows.agg(F.count("*").alias("__all"))  # one row
+    usable = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).where((F.col("df") >= least) & (F.col("df") <= F.col("__all") * most))
+    usable = usable.select(F.col("term").alias("__term"), F.log(F.col("__all") / F.col("df")).alias("idf"))
+    weighed = counts.join(usable, F.col("term") == F.col("__term")).select(key, "term", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
+    # the first word of those with the largest weight
+    best = weighed.groupBy(key).agg(F.min_by(F.struct("term", "weight"), F.struct(-F.col("weight"), "term")).alias("r"))
+    return rows.select(key).join(best, key, "left").select(key, F.col("r.term").alias("cluster_id"), F.col("r.weight").alias("weight"))
+
+
 def cluster_summary(clustered: DataFrame, words: str, precursor: Column, terms: int = 5) -> DataFrame:
     """Size, precursor share and most frequent words of each cluster."""
     sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg(precursor.cast("double")).alias("precursor_share"))

@@ -26,18 +26,27 @@ REPORT = T.StructType(
     ]
 )
 
+#: How CSV is written and read, so that texts with quotes, line ends and spaces at their ends come back as they were.
+CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
+#: An empty field is null when read and a quoted empty one an empty text; no text is this mark.
+READ_CSV = {**CSV, "nullValue": "\0"}
+
 #: Report families. Their spelling in a source is upper-cased; anything else becomes null.
 FAMILIES = ("UA", "UC", "NEAR_MISS", "INCIDENT")
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = REPORT, **options: str) -> DataFrame:
-    """A batch of report files. The schema is always given, so no pass is spent on guessing it."""
-    return spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}), **options).schema(schema).load(path)
+    """A batch of report files. The schema is always given, so no pass is spent on guessing it.
+
+    CSV is read as :func:`hazlens.sources.sinks.export` writes it: with a header, quotes doubled, and line ends within quotes. Such
+    files can't be split, so large ones should come as many; where no text holds a line end, ``multiLine="false"`` lets Spark split them.
+    """
+    return spark.read.format(fmt).options(**{**(READ_CSV if fmt == "csv" else {}), **options}).schema(schema).load(path)
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType = REPORT, fmt: str = "parquet", files_per_trigger: int = 100, **options: str) -> DataFrame:
-    """Report files as they arrive."""
-    return spark.readStream.format(fmt).options(**options).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    """Report files as they arrive; CSV as in :func:`read`."""
+    return spark.readStream.format(fmt).options(**{**(READ_CSV if fmt == "csv" else {}), **options}).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
 def normalised(raw: DataFrame, mapping: dict[str, str | F.Column], report_type: str | None = None) -> DataFrame:

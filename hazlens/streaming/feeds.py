@@ -106,6 +106,41 @@ def current(spark: SparkSession, path: str, key: list[str], order: str) -> DataF
     return spark.read.parquet(path).groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(order, "batch")).alias("r")).select("r.*").drop("batch")
 
 
+def partial_counts(path: str, by: list[str], late: str = "1 day", width: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """A batch writer of counts by window that loses no late row: each batch's own counts go to a folder of their own.
+
+    A row is late if its window had ended ``late`` or more before the newest time of the batches before; what a window with a watermark
+    would drop is counted and marked here. No state is held, and a batch that is run again writes the same folder again. Rows
+    without a time are counted under a null window and are never late.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        # one row a batch before this one
+        newest = spark.read.schema("batch int, newest timestamp").parquet(f"{path}/newest").where(F.col("batch") < number) if number else None
+        seen = newest.agg(F.max("newest")).first()[0] if newest is not None else None
+        window = F.window("ts", width)
+        counted = batch.where("ts is not null").groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"))
+        counted = counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("__end"), *by, "n")
+        untimed = batch.where("ts is null").groupBy(*by).agg(F.count("*").alias("n"))
+        behind = F.coalesce(F.col("__end") + F.expr(f"INTERVAL {late}") <= F.lit(seen), F.lit(False))
+        rows = counted.unionByName(untimed, allowMissingColumns=True).withColumn("late", F.when(behind, F.col("n")).otherwise(0)).drop("__end")
+        rows.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        batch.agg(F.max("ts").alias("newest")).select(F.lit(number).alias("batch"), "newest").write.mode("overwrite").parquet(f"{path}/newest/number={number}")
+
+    return write
+
+
+def amended_counts(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """(window_start, by, n, late) over all batches that :func:`partial_counts` wrote: every row counted once, and how many of them came late."""
+    parts = spark.read.parquet(f"{path}/counts")
+    return parts.groupBy("window_start", *by).agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
+def each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], trigger: dict | None = None) -> StreamingQuery:
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+
+
 def start(stream: DataFrame, checkpoint: str, path: str, mode: str = "append", trigger: dict | None = None, fmt: str = "parquet") -> StreamingQuery:
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).format(fmt).start(path)
 

@@ -6,12 +6,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from hazlens.plans import catalogue, explained  # noqa: F401  (registers its queries)
+from hazlens.plans import catalogue, explained, served  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # the others are held against SQL by the driver; these cover each family
-CHOSEN = ["canonical_reports", "text_stats", "tfidf_top_terms", "sentence_count", "exact_dedup", "weak_label_vote", "rule_tags", "rule_evidence", "highlight", "multilabel_prf1", "threshold_sweep", "daily_trend_filled", "drilldown_cube", "density_ranking", "repeat_within_7d", "psi_drift", "perf_by_period", "ranking_functions", "analytic_functions", "distribution_statistics", "latest_by_user", "set_operations", "third_page", "props_json", "map_functions", "string_functions", "array_functions", "asof_join", "chi_square_drift", "auc_of_length", "stream_sliding", "stream_session", "stream_stream_join", "token_bayes_prf1", "score_drift", "phrase_evidence", "phrase_table_hits", "token_bayes_spans", "denied_evidence", "calibration_map", "calibrated_scores", "label_model_accuracies", "label_model_scores", "stream_repeats_within", "near_duplicate_clusters", "chains_within_days", "rule_interactions", "quantile_drift", "sequence_patterns", "fpgrowth_rules", "change_points", "rule_taxonomy"]
+CHOSEN = ["canonical_reports", "text_stats", "tfidf_top_terms", "sentence_count", "exact_dedup", "weak_label_vote", "rule_tags", "rule_evidence", "highlight", "multilabel_prf1", "threshold_sweep", "daily_trend_filled", "drilldown_cube", "density_ranking", "repeat_within_7d", "psi_drift", "perf_by_period", "ranking_functions", "analytic_functions", "distribution_statistics", "latest_by_user", "set_operations", "third_page", "props_json", "map_functions", "string_functions", "array_functions", "asof_join", "chi_square_drift", "auc_of_length", "stream_sliding", "stream_session", "stream_stream_join", "token_bayes_prf1", "score_drift", "phrase_evidence", "phrase_table_hits", "token_bayes_spans", "denied_evidence", "calibration_map", "calibrated_scores", "label_model_accuracies", "label_model_scores", "stream_repeats_within", "near_duplicate_clusters", "chains_within_days", "rule_interactions", "quantile_drift", "sequence_patterns", "fpgrowth_rules", "change_points", "rule_taxonomy", "export_round_trip", "stream_ingest", "audit_changes", "cli_scores", "dashboard_panels", "stream_amended_counts", "stream_upsert_latest", "rule_heads_scores", "rule_heads_model_only", "stream_head_scores", "ridge_by_site", "ridge_by_site_scores", "crossed_thresholds", "feature_union", "term_clusters", "term_cluster_summary"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the fixture tables")
 
