@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazlens.staging import staged
+
+#: Words that are met by broadcast, the most frequent ones, and their longest; what they weigh is bounded by both.
+COMMON, LONGEST = 20_000, 64
+
 
 class TokenHeads:
     """Bernoulli classifiers by the log odds of a report's distinct words, one for each rule, over a shared table of words.
 
-    weights: term and one column a rule; the row of the null term holds the priors. The words are
+    weights: term, df and one column a rule; the row of the null term holds the priors. The words are
     exploded and exchanged once, however many rules there are. A word that training had in fewer than ``least`` reports counts
     nothing; a report without words has the prior alone; a null label is a no.
     """
 
     def __init__(self, weights: DataFrame) -> None:
         self.weights = weights
-        self.rules = [c for c in weights.columns if c != "term"]
+        self.rules = [c for c in weights.columns if c not in ("term", "df")]
 
     @classmethod
     def fit(cls, rows: DataFrame, labels: dict[str, Column], words: Column, least: int = 2) -> TokenHeads:
@@ -31,8 +36,9 @@ class TokenHeads:
             return (F.log((p + 1) / (pos + 2)) - F.log((F.col("__df") - p + 1) / (F.col("__rows") - pos + 2))).alias(rule)
 
         prior = lambda rule: F.log((F.col(f"__pos_{rule}") + 1) / (F.col("__rows") - F.col(f"__pos_{rule}") + 1)).alias(rule)
-        weights = terms.crossJoin(F.broadcast(sizes)).select("term", *map(odds, y))
-        return cls(weights.unionByName(sizes.select(F.lit(None).cast("string").alias("term"), *map(prior, y))))
+        weights = terms.crossJoin(F.broadcast(sizes)).select("term", F.col("__df").alias("df"), *map(odds, y))
+        priors = sizes.select(F.lit(None).cast("string").alias("term"), F.col("__rows").alias("df"), *map(prior, y))
+        return cls(staged(weights.unionByName(priors), "heads"))
 
     def save(self, path: str) -> None:
         self.weights.write.mode("overwrite").parquet(path)
@@ -42,10 +48,20 @@ class TokenHeads:
         return cls(spark.read.parquet(path))
 
     def score(self, rows: DataFrame, key: str, words: Column) -> DataFrame:
-        """(key, rule_id, score) of every row and rule, the score a probability."""
-        # the null term asks for the priors
-        asked = rows.select(key, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.array_distinct(words), F.array().cast("array<string>")))).alias("term"))
-        met = asked.join(self.weights.withColumnRenamed("term", "__term"), F.col("term").eqNullSafe(F.col("__term")))
-        sums = met.groupBy(key).agg(*(F.sum(rule).alias(rule) for rule in self.rules))
+        """(key, rule_id, score) of every row and rule, the score a probability.
+
+        Most words of any text are among the frequent ones, whose rows don't move; only rarer words are exchanged, so
+        none of them is a hot key.
+        """
+        priors = self.weights.where("term is null").select(*self.rules)  # one row
+        words_of = self.weights.where("term is not null")
+        common = words_of.where(F.length("term") <= LONGEST).orderBy(F.desc("df"), "term").limit(COMMON)
+        rare = words_of.join(common.select("term"), "term", "left_anti")
+        asked = rows.select(key, F.explode(F.array_distinct(words)).alias("term"))
+        here = asked.join(F.broadcast(common), "term").select(key, *self.rules)
+        there = asked.join(F.broadcast(common.select("term")), "term", "left_anti").join(rare, "term").select(key, *self.rules)
+        # every row has the priors, also one without words
+        parts = rows.select(key).crossJoin(F.broadcast(priors)).unionByName(here).unionByName(there)
+        sums = parts.groupBy(key).agg(*(F.sum(rule).alias(rule) for rule in self.rules))
         each = F.array(*(F.struct(F.lit(rule).alias("rule_id"), (1 / (1 + F.exp(-F.col(rule)))).alias("score")) for rule in self.rules))
         return sums.select(key, F.inline(each))

@@ -52,9 +52,13 @@ def test_late_rows_are_counted_and_marked(spark, tmp_path):
     assert got == {(day(10), "a"): (3, 0), (None, "a"): (1, 0), (day(2), "a"): (1, 1), (day(9), "b"): (1, 0), (day(8), "b"): (1, 1)}
 
 
-def test_heads_equal_single_classifiers(spark, tmp_path):
+@pytest.mark.parametrize("common", [0, 7, 20_000])
+def test_heads_equal_single_classifiers(spark, tmp_path, monkeypatch, common):
+    from hazlens.operators import heads
     from hazlens.operators.classify import TokenBayes
 
+    monkeypatch.setattr(heads, "COMMON", common)
+
     rng = np.random.default_rng(5)
     rows = [(k, [f"w{x}" for x in rng.integers(0, 30, 12)], int(rng.integers(2)), None if k % 9 == 0 else int(rng.integers(2))) for k in range(300)] + [(300, [], 1, 0), (301, None, 0, 1)]
     df = spark.createDataFrame(rows, "k long, words array<string>, a int, b int")
