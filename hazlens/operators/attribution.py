@@ -27,6 +27,14 @@ from hazlens.staging import staged
 #: Between a letter or digit and anything else.
 EDGE = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
 
+#: The letters whose lower case is a to z, one for one; U+212A is the sign for kelvin.
+LATIN = r"A-Za-z\u212A"
+
+
+def _edge(letters: str) -> str:
+    """Between one of the letters and anything else."""
+    return f"(?<=[{letters}])(?=[^{letters}])|(?<=[^{letters}])(?=[{letters}])"
+
 
 def placed_words(text: Column, is_word: str, edge: str) -> Column:
     """(word, start, length) of the words of a lower-cased text in turn; places count from 1."""
@@ -106,9 +114,18 @@ def bayes_spans(model: TokenBayes, reports: DataFrame, key: str, text: str) -> D
 
     With the prior, which stands nowhere, they sum to the log odds. Words are runs of a to z, as in the model's fit.
     """
-    found = reports.select(F.monotonically_increasing_id().alias("__row"), key, F.col(text).alias("__text"), placed_words(F.col(text), "^[a-z]", r"(?<=[a-z])(?=[^a-z])|(?<=[^a-z])(?=[a-z])").alias("__w"))
-    words = found.select("__row", key, "__text", F.inline("__w"))
-    at = F.struct("start", "length", F.substring("__text", F.col("start"), F.col("length")).alias("snippet"))
-    first = words.groupBy("__row", key, F.col("word").alias("term")).agg(F.min_by(at, "start").alias("at"))
-    met = first.join(model.weights.where("term is not null"), "term")
-    return met.select(key, "term", "at.*", F.col("weight").alias("contribution"))
+    same = F.length(F.lower(text)) == F.length(text)
+    # where places are those of the text itself it is cut as it stands, so that snippets are its pieces
+    cut = F.when(same, words_of.pieces(F.col(text), _edge(LATIN))).otherwise(words_of.pieces(F.lower(text), _edge("a-z")))
+
+    def listed(c: Column) -> Column:
+        snippet = lambda x, s: F.when(c["same"], x).otherwise(F.substring(F.col(text), s, F.length(x)))
+        at = F.zip_with(c["p"], words_of.starts(c["p"]), lambda x, s: F.struct(F.lower(x).alias("term"), s.alias("start"), F.length(x).alias("length"), snippet(x, s).alias("snippet")))
+        return F.sort_array(F.filter(at, lambda x: x["term"].rlike("^[a-z]")))
+
+    # the words of a report are one list: in order of word and place, the first of each is kept before rows are made
+    first = words_of.bound(words_of.bound(F.struct(same.alias("same"), cut.alias("p")), listed), lambda ws: F.filter(ws, lambda x, i: (i == 0) | (F.get(ws, i - 1)["term"] != x["term"])))
+    # with the number of the row in the same step, and used, no filter moves below it and works the words out again
+    found = reports.select(F.monotonically_increasing_id().alias("__row"), key, first.alias("__w")).select("__row", key, F.inline("__w")).where("__row >= 0")
+    met = found.join(model.weights.where("term is not null"), "term")
+    return met.select(key, "term", "start", "length", "snippet", F.col("weight").alias("contribution"))

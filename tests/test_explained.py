@@ -93,3 +93,14 @@ def test_denied_evidence(spark):
     assert {(r.report_id, r.rule_id) for r in scope.asserted(out).collect()} == {(k, r) for k, (_, yes, _) in enumerate(DENIED) for r in yes}
     by_index = phrases.evidence(reports, phrases.table(spark, lex.SAFETY))
     assert sorted(scope.judged(by_index, reports, scope.SAFETY).select("report_id", "rule_id", "start", "negated").collect()) == sorted(out.select("report_id", "rule_id", "start", "negated").collect())
+
+
+def test_bayes_spans_carry_no_text_with_their_words(spark):
+    """The rows of words that are exchanged hold the words alone; places and snippets are those of the first of each word."""
+    texts = ["Ab ab AB çd İab ab", "x " * 3_000 + "Ab", "b-B a", None, "", "Kab kab"]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "report_id long, narrative string, y int")
+    model = classify.TokenBayes(spark.createDataFrame([(t, 1.0) for t in ("ab", "b", "d", "kab", "x")] + [(None, 0.5)], "term string, weight double"))
+    spans = attribution.bayes_spans(model, rows, "report_id", "narrative")
+    got = sorted((r.report_id, r.term, r.start, r.length, r.snippet) for r in spans.collect())
+    assert got == [(0, "ab", 1, 2, "Ab"), (0, "d", 11, 1, "d"), (1, "ab", 6_001, 2, "Ab"), (1, "x", 1, 1, "x"), (2, "b", 1, 1, "b"), (5, "kab", 1, 3, "Kab")]
+    assert "Aggregate" not in spans._jdf.queryExecution().optimizedPlan().toString()
