@@ -23,12 +23,18 @@ from hazlens.staging import staged
 #: First words up to which they are a set within the plan. Beyond, words are joined with them.
 INLINE = 5_000
 
+#: The edge of a word where only A to Z, digits and the underscore are letters, as RE2 and SQL engines on it take it.
+ASCII_EDGE = r"(?<=[A-Za-z0-9_])(?=[^A-Za-z0-9_])|(?<=[^A-Za-z0-9_])(?=[A-Za-z0-9_])"
 
-def compiled(lexicon: DataFrame) -> DataFrame:
-    """(rule_id, rank, phrase, size, first) of a table (rule_id, rank, phrase); phrases begin and end with a letter, digit or underscore, others are left out."""
+
+def compiled(lexicon: DataFrame, edge: str = r"\b") -> DataFrame:
+    """(rule_id, rank, phrase, size, first) of a table (rule_id, rank, phrase); phrases begin and end with a letter, digit or underscore, others are left out.
+
+    edge: where words begin and end, here and in :func:`evidence`; :data:`ASCII_EDGE` for phrases and searches of engines whose letters are A to Z.
+    """
     low = lexicon.select("rule_id", F.col("rank").cast("long").alias("rank"), words.lowered(F.col("phrase")).alias("phrase"))
     low = low.where(F.col("phrase").rlike(r"^\b[\s\S]*\b$") & F.col("phrase").rlike(r"^[\p{L}\p{Nd}_]")).groupBy("rule_id", "phrase").agg(F.min("rank").alias("rank"))
-    cut = low.withColumn("__p", F.array_remove(words.pieces(F.col("phrase")), ""))
+    cut = low.withColumn("__p", F.array_remove(words.pieces(F.col("phrase"), edge), ""))
     return cut.select("rule_id", "rank", "phrase", F.size("__p").alias("size"), F.col("__p")[0].alias("first"))
 
 
@@ -37,10 +43,10 @@ def table(spark: SparkSession, lexicon: list[lex.Entry]) -> DataFrame:
     return compiled(spark.createDataFrame(lex.phrases(lexicon), "rule_id string, rank long, phrase string"))
 
 
-def evidence(reports: DataFrame, lexicon: DataFrame, key: str = "report_id", text: str = "narrative", around: int = 20, keep: tuple[str, ...] = (), inline: int = INLINE) -> DataFrame:
+def evidence(reports: DataFrame, lexicon: DataFrame, key: str = "report_id", text: str = "narrative", around: int = 20, keep: tuple[str, ...] = (), inline: int = INLINE, edge: str = r"\b") -> DataFrame:
     """(key, rule_id, start, length, snippet, context) of every match and the columns ``keep``, as by tagging.evidence.
 
-    lexicon: compiled phrases.
+    lexicon: phrases compiled with the same edge.
     """
     shape = lexicon.groupBy("size").agg(F.max(F.length("phrase")).alias("longest")).collect()  # as many rows as phrases have lengths
     sizes, longest = sorted(r["size"] for r in shape), max((r["longest"] for r in shape), default=1)
@@ -64,7 +70,7 @@ def evidence(reports: DataFrame, lexicon: DataFrame, key: str = "report_id", tex
         return words.bound(places, lambda places: F.when(F.size(places) > 0, every(places)).otherwise(F.array().cast(offer)))
 
     texts = reports.select(F.struct(key, *keep).alias("__keep"), F.col(text).alias("__text")).where("__text is not null")
-    cut = words.pieces(words.lowered(F.col("__text")))
+    cut = words.pieces(words.lowered(F.col("__text")), edge)
     if len(first) <= inline:
         begins = lambda p: F.array_compact(F.transform(p, lambda w, i: F.when(w.isin(first), i)))
         found = words.bound(cut, lambda p: offers(p, begins(p)))

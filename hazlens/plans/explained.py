@@ -37,8 +37,9 @@ _OPENING = "^([A-Za-z]+(?: [A-Za-z]+){3})"
 def phrase_table_hits(spark, sf_dir):
     """How often documents hold the opening words of each benchmark item: a lexicon that is a table itself."""
     opening = F.regexp_extract("text", _OPENING, 1)
-    made = phrases.compiled(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("rule_id"), F.lit(0).alias("rank"), opening.alias("phrase")))
-    return phrases.evidence(table(spark, sf_dir, "documents"), made, "doc_id", "text").groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
+    made = phrases.compiled(table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("rule_id"), F.lit(0).alias("rank"), opening.alias("phrase")), phrases.ASCII_EDGE)
+    # an opening may end before an accented letter, within a word; the SQL's edges, which know A to Z alone, are there too
+    return phrases.evidence(table(spark, sf_dir, "documents"), made, "doc_id", "text", edge=phrases.ASCII_EDGE).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
 
 # ---- places behind scores -----------------------------------------------------------------------
