@@ -18,12 +18,16 @@ def tokens(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by spaces; none for fewer words."""
+
     # shifted copies side by side: a lambda that looked words up by place would compute them anew for each
-    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    out = F.slice(words, 1, many)
-    for k in range(2, n + 1):
-        out = F.zip_with(out, F.slice(words, k, many), lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+    def runs(words: Column) -> Column:
+        many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        out = F.slice(words, F.lit(1), many)
+        for k in range(2, n + 1):
+            out = F.zip_with(out, F.slice(words, F.lit(k), many), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    return bound(words, runs)
 
 
 def without(words: Column, stop_words: list[str]) -> Column:
