@@ -192,3 +192,11 @@ def test_asof_over_any_order(spark, kind):
     for k, g, t in left:
         best = max(((s, v) for (h, s), v in right.items() if h == g and s <= t), default=(0, None))
         assert got[k] == best[1]
+
+
+def test_sets_without_enough_shared_shingles_are_met_by_none(spark):
+    """Shingles of one set alone are counted, not exchanged as prefixes; those of alike sets are still shared."""
+    sets = spark.createDataFrame([(1, list(range(10))), (2, [*range(9), 99]), (3, list(range(100, 110))), (4, [0, 1, *range(200, 208)])], "node long, s array<long>").withColumn("n", F.size("s"))
+    prefix = dedup._prefixes(sets, "node", 0.8).collect()
+    assert {r.node for r in prefix} == {1, 2}
+    assert {r.shingle for r in prefix if r.node == 1} & {r.shingle for r in prefix if r.node == 2}
