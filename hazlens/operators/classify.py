@@ -12,6 +12,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazlens.staging import staged
+
 
 def vote(*functions: Column) -> Column:
     """Majority of labelling functions that give 1, 0 or null (abstain); null if all abstain, 1 on a tie."""
@@ -55,8 +57,28 @@ def features(text: str = "narrative", categories: tuple[str, ...] = (), size: in
     return [*stages, VectorAssembler(inputCols=["__idf", "__tf2", *(f"__{c}_hot" for c in categories)], outputCol="features")]
 
 
+def featured(rows: DataFrame, keep: list[str], text: str = "narrative", categories: tuple[str, ...] = ()) -> tuple[PipelineModel, DataFrame]:
+    """The fitted stages of :func:`features`, and ``rows`` as ``keep`` and ``features``.
+
+    Texts are cut into words once: the counts are written, and weights and whatever is fitted on the features, in however many
+    passes, start from them.
+    """
+    stages = features(text, categories)
+    at = next(i for i, s in enumerate(stages) if isinstance(s, IDF))
+    plain, weights, kinds, union = stages[:at], stages[at], stages[at + 1 : -1], stages[-1]
+    coded = Pipeline(stages=kinds).fit(rows).stages
+    counts = [s.getOutputCol() for s in plain[-2:]] + [f"__{c}_hot" for c in categories]
+    counted = staged(PipelineModel([*plain, *coded]).transform(rows).select(*keep, *counts), "counts")
+    fitted = weights.fit(counted)
+    ready = PipelineModel([fitted, union]).transform(counted).select(*keep, "features")
+    return PipelineModel([*plain, fitted, *coded, union]), ready
+
+
 MEMBERS = ("lr", "nb", "rf")
 
+#: Rows of a task that grows trees: a tree takes a number a feature, 33 kB a row, however few of them the row has.
+TREE_ROWS = 8_192
+
 
 def _member(name: str, label: str, seed: int):
     kind = {"lr": lambda **k: LogisticRegression(maxIter=20, regParam=0.01, **k), "nb": NaiveBayes, "rf": lambda **k: RandomForestClassifier(numTrees=20, maxDepth=6, seed=seed, **k)}[name]
@@ -71,8 +93,10 @@ class Ensemble:
 
     @classmethod
     def fit(cls, rows: DataFrame, label: str, text: str = "narrative", categories: tuple[str, ...] = (), members: tuple[str, ...] = MEMBERS, weights: list[float] | None = None, seed: int = 1) -> Ensemble:
-        stages = [*features(text, categories), *(_member(m, label, seed) for m in members)]
-        return cls(Pipeline(stages=stages).fit(rows), members, weights)
+        shared, ready = featured(rows, [label], text, categories)
+        dealt = ready.repartition(-(-ready.count() // TREE_ROWS) or 1) if "rf" in members else ready
+        heads = [_member(m, label, seed).fit(dealt if m == "rf" else ready) for m in members]
+        return cls(PipelineModel([*shared.stages, *heads]), members, weights)
 
     def save(self, path: str) -> None:
         """The fitted stages in ``path``/stages and what the vote needs beside them in ``path``/vote."""
@@ -101,10 +125,8 @@ class MultiOutput:
 
     @classmethod
     def fit(cls, rows: DataFrame, labels: dict[str, str], text: str = "narrative", categories: tuple[str, ...] = ()) -> MultiOutput:
-        shared = Pipeline(stages=features(text, categories)).fit(rows)
-        ready = shared.transform(rows).select("features", *labels.values()).cache()
+        shared, ready = featured(rows, [*dict.fromkeys(labels.values())], text, categories)
         heads = {rule: LogisticRegression(labelCol=label, maxIter=20, regParam=0.01, probabilityCol=f"__p_{rule}", predictionCol=f"__c_{rule}", rawPredictionCol=f"__r_{rule}").fit(ready) for rule, label in labels.items()}
-        ready.unpersist()
         return cls(shared, heads)
 
     def score(self, rows: DataFrame, key: str = "report_id") -> DataFrame:
@@ -150,12 +172,13 @@ def tuned(rows: DataFrame, label: str, penalties: list[float], text: str = "narr
     grid = ParamGridBuilder().addGrid(head.regParam, penalties).build()
     search = CrossValidator(estimator=head, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR"), numFolds=folds, seed=seed)
     # features don't depend on the grid, so they are made once
-    shared = Pipeline(stages=features(text)).fit(rows)
-    found = search.fit(shared.transform(rows).select("features", label))
+    shared, ready = featured(rows, [label], text)
+    found = search.fit(ready)
     return PipelineModel([*shared.stages, found.bestModel]), dict(zip(penalties, found.avgMetrics))
 
 
 def ridge(rows: DataFrame, target: str, penalty: float = 0.1, text: str = "narrative", categories: tuple[str, ...] = ()) -> PipelineModel:
     """A continuous score with a squared penalty, in ``severity_score``."""
     head = LinearRegression(labelCol=target, featuresCol="features", predictionCol="severity_score", elasticNetParam=0.0, regParam=penalty, standardization=False)
-    return Pipeline(stages=[*features(text, categories), head]).fit(rows)
+    shared, ready = featured(rows, [target], text, categories)
+    return PipelineModel([*shared.stages, head.fit(ready)])

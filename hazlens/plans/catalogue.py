@@ -712,13 +712,11 @@ def kmeans_clusters(spark, sf_dir):
 @query()
 def topic_clusters(spark, sf_dir):
     """Clusters of reports by their words, each with size, precursor share and terms."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.feature import Normalizer
 
     docs = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left").withColumnRenamed("text", "narrative")
-    stages = [*classify.features(), Normalizer(inputCol="features", outputCol="unit")]
-    ready = Pipeline(stages=stages).fit(docs).transform(docs)
-    clustered = patterns.clusters(ready, "unit", 6).withColumn("words", words_of.tokens(F.col("narrative")))
+    _, ready = classify.featured(docs, ["narrative", "toxic"])
+    clustered = patterns.clusters(Normalizer(inputCol="features", outputCol="unit").transform(ready), "unit", 6).withColumn("words", words_of.tokens(F.col("narrative")))
     return patterns.cluster_summary(clustered, "words", F.col("toxic") == 1)
 
 

@@ -10,6 +10,7 @@ from hazlens.operators import attribution, calibrate, classify, dedup, labelmode
 from hazlens.plans import catalogue
 from hazlens.plans.registry import ORACLE, query
 from hazlens.session import table
+from hazlens.staging import staged
 from hazlens.streaming import alerts, feeds
 
 _ROUND = catalogue._ROUND
@@ -70,6 +71,7 @@ def model_tag_spans(spark, sf_dir):
     model = classify.MultiOutput.fit(train, {e.rule_id: f"y_{e.rule_id}" for e in lex.FIXTURE}, categories=("lang",))
     tagged = tagging.with_rules(docs, lex.FIXTURE[:2]).select("doc_id", "rules")
     only = tagging.with_model_only(tagged, model.score(docs, "doc_id"), key="doc_id").select("doc_id", F.explode("model_only").alias("rule_id"))
+    only = staged(only, "model-only")  # asked for twice; all documents are scored for it
     parts = attribution.contributions(model, docs.join(only.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", categories=("lang",))
     return attribution.justified(only, parts, 3, "doc_id")
 
