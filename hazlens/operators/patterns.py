@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazlens.functions.text import bound
+from hazlens.operators.heads import COMMON, LONGEST
 from hazlens.staging import staged
 
 
@@ -264,19 +266,39 @@ def term_clusters(rows: DataFrame, key: str, words: Column, least: int = 2, most
     """(key, cluster_id, weight): every report put under the word that tells it best from the others.
 
     That is the word with the largest count times log inverse frequency, of the words in at least ``least`` reports and at
-    most a share ``most`` of them; ties go to the first word in order. Reports without such a word have a null cluster. Counts are
-    made where a report lies, since all its words are in one row; keys are distinct.
+    most a share ``most`` of them; ties go to the first word in order. Reports without such a word have a null cluster. A report's
+    counts are made within its row, frequent words are met by broadcast, and only rarer ones are exchanged; keys are distinct.
     """
-    counts = staged(rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "counts")
-    whole = rows.agg(F.count("*").alias("__all"))  # one row
-    usable = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).where((F.col("df") >= least) & (F.col("df") <= F.col("__all") * most))
-    usable = usable.select(F.col("term").alias("__term"), F.log(F.col("__all") / F.col("df")).alias("idf"))
-    weighed = counts.join(usable, F.col("term") == F.col("__term")).select(key, "term", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
+    counts = staged(rows.select(key, _counted(words).alias("__c")), "counts")
+    terms = counts.select(key, F.inline("__c"))
+    whole = counts.agg(F.count("*").alias("__all"))  # one row
+    share = F.col("df") <= F.col("__all") * most
+    weights = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).where(F.col("df") >= least)
+    weights = staged(weights.select(F.col("term").alias("__term"), "df", F.when(share, F.log(F.col("__all") / F.col("df"))).alias("idf")), "weights")
+    common = weights.where(F.length("__term") <= LONGEST).orderBy(F.desc("df"), "__term").limit(COMMON)
+    rare = weights.join(common.select("__term"), "__term", "left_anti").where("idf is not null")
+    met = F.col("term") == F.col("__term")
+    here = terms.join(F.broadcast(common), met).where("idf is not null").select(key, "term", "tf", "idf")
+    there = terms.join(F.broadcast(common.select("__term")), met, "left_anti").join(rare, met).select(key, "term", "tf", "idf")
+    # the rows of a report lie side by side, so that each goes into its best word before anything moves
+    weighed = here.unionByName(there).select(key, "term", F.round(F.col("tf") * F.col("idf"), 9).alias("weight"))
     # the first word of those with the largest weight
     best = weighed.groupBy(key).agg(F.min_by(F.struct("term", "weight"), F.struct(-F.col("weight"), "term")).alias("r"))
     return rows.select(key).join(best, key, "left").select(key, F.col("r.term").alias("cluster_id"), F.col("r.weight").alias("weight"))
 
 
+def _counted(words: Column) -> Column:
+    """(term, tf) of each distinct word of a list, in order."""
+
+    def runs(ws: Column) -> Column:
+        at = F.transform(ws, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+        first = F.filter(at, lambda x: (x["at"] == 0) | (F.get(ws, x["at"] - 1) != x["term"]))
+        ends = lambda xs: F.concat(F.transform(F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0))), lambda x: x["at"]), F.array(F.size(ws)))
+        return bound(first, lambda xs: F.zip_with(xs, ends(xs), lambda x, e: F.struct(x["term"].alias("term"), (e - x["at"]).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, bound(F.sort_array(words), runs))
+
+
 def cluster_summary(clustered: DataFrame, words: str, precursor: Column, terms: int = 5) -> DataFrame:
     """Size, precursor share and most frequent words of each cluster."""
     sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg(precursor.cast("double")).alias("precursor_share"))
