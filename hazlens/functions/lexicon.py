@@ -29,8 +29,19 @@ class Entry:
     weight: float = 1.0
 
 
+#: What entries have around their phrases.
+_HEAD, _TAIL = r"(?i)\b(", r")\b"
+
+
 def entry(rule_id: str, *stems: str, weight: float = 1.0) -> Entry:
-    return Entry(rule_id, rf"(?i)\b({'|'.join(stems)})\b", weight)
+    return Entry(rule_id, f"{_HEAD}{'|'.join(stems)}{_TAIL}", weight)
+
+
+def union(lexicon: list[Entry]) -> str | None:
+    """One pattern that finds something just where any entry's does; none if one isn't as :func:`entry` makes it."""
+    if not all(e.pattern.startswith(_HEAD) and e.pattern.endswith(_TAIL) for e in lexicon):
+        return None
+    return f"{_HEAD}{'|'.join(f'(?:{e.pattern[len(_HEAD) : -len(_TAIL)]})' for e in lexicon)}{_TAIL}"
 
 
 SAFETY = [
@@ -88,12 +99,11 @@ def expanded(pattern: str) -> list[str]:
 
 def phrases(lexicon: list[Entry]) -> list[tuple[str, int, str]]:
     """(rule_id, rank, phrase) of all that the entries' patterns find; of a rule's phrases at one place the least rank counts."""
-    head, tail = r"(?i)\b(", r")\b"
     out = []
     for e in lexicon:
-        if not e.pattern.startswith(head) or not e.pattern.endswith(tail):
+        if not e.pattern.startswith(_HEAD) or not e.pattern.endswith(_TAIL):
             raise ValueError(f"{e.pattern!r} isn't a set of phrases")
-        out += [(e.rule_id, rank, p) for rank, p in enumerate(expanded(e.pattern[len(head) : -len(tail)]))]
+        out += [(e.rule_id, rank, p) for rank, p in enumerate(expanded(e.pattern[len(_HEAD) : -len(_TAIL)]))]
     return out
 
 

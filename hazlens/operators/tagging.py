@@ -9,14 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazlens.functions.lexicon import Entry
+from hazlens.functions.lexicon import Entry, union
 from hazlens.functions.text import html_escaped
 
 
 def rules_of(text: Column, lexicon: list[Entry]) -> Column:
-    """The sorted rule ids that apply; empty for none and for null."""
+    """The sorted rule ids that apply; empty for none and for null.
+
+    Most texts hold nothing of the lexicon, so all patterns are looked for as one first.
+    """
     hits = F.array(*(F.when(text.rlike(e.pattern), F.lit(e.rule_id)) for e in lexicon))
-    return F.array_sort(F.array_distinct(F.array_compact(hits)))
+    found = F.array_sort(F.array_distinct(F.array_compact(hits)))
+    either = union(lexicon) if len(lexicon) > 1 else None
+    return found if either is None else F.when(text.rlike(either), found).otherwise(F.array().cast("array<string>"))
 
 
 def with_rules(reports: DataFrame, lexicon: list[Entry], text: str = "narrative") -> DataFrame:

@@ -18,6 +18,7 @@ from hazlens.plans import catalogue, dashboard
 from hazlens.plans.registry import query
 from hazlens.session import table
 from hazlens.sources import reports, sinks
+from hazlens.staging import staged
 from hazlens.streaming import feeds
 
 _ROUND, _ROUND6 = catalogue._ROUND, catalogue._ROUND6
@@ -154,15 +155,19 @@ _HEADS = f"""
 """
 
 
-def _heads(spark, sf_dir) -> TokenHeads:
-    """Heads for the fixture rules, whose patterns give the labels, fitted on four folds, stored and loaded again."""
-    docs = table(spark, sf_dir, "documents").where(classify.fold(F.col("doc_id")) != 0)
-    labels = {e.rule_id: F.col("text").rlike(e.pattern) for e in lex.FIXTURE}
+def _stored(spark, rows, labels, words) -> TokenHeads:
+    """Heads fitted on four folds, stored and loaded again."""
     path = f"{catalogue._folder(spark)}/heads"
-    TokenHeads.fit(docs, labels, words_of.tokens(F.col("text"))).save(path)
+    TokenHeads.fit(rows.where(classify.fold(F.col("doc_id")) != 0), labels, words).save(path)
     return TokenHeads.load(spark, path)
 
 
+def _heads(spark, sf_dir) -> TokenHeads:
+    """Heads for the fixture rules, whose patterns give the labels."""
+    labels = {e.rule_id: F.col("text").rlike(e.pattern) for e in lex.FIXTURE}
+    return _stored(spark, table(spark, sf_dir, "documents"), labels, words_of.tokens(F.col("text")))
+
+
 @query(f"WITH {_HEADS} SELECT doc_id, rule_id, round(score, 6) AS score FROM scored")
 def rule_heads_scores(spark, sf_dir):
     """The confidence of every rule for every document, by heads that share one table of words."""
@@ -172,9 +177,13 @@ def rule_heads_scores(spark, sf_dir):
 @query(f"WITH {_HEADS} SELECT doc_id, coalesce(array_to_string(list(rule_id ORDER BY rule_id) FILTER (round(score, 6) >= 0.5 AND NOT tagged), ','), '') AS model_only FROM scored GROUP BY doc_id")
 def rule_heads_model_only(spark, sf_dir):
     """The rules that only the heads give, beside the patterns' own."""
-    docs = table(spark, sf_dir, "documents")
-    scores = _ROUND6(_heads(spark, sf_dir).score(docs, "doc_id", words_of.tokens(F.col("text"))), "score")
-    found = tagging.with_model_only(tagging.with_rules(docs, lex.FIXTURE, "text"), scores, 0.5, "doc_id")
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    # fit, scores and tags start from the same words and rules, so texts are cut and searched once
+    ready = staged(docs.select("doc_id", F.array_join(F.array_distinct(words_of.tokens(text)), " ").alias("words"), tagging.rules_of(text, lex.FIXTURE).alias("rules")), "words")
+    words = F.split(F.nullif("words", F.lit("")), " ")
+    model = _stored(spark, ready, {r: F.array_contains("rules", r) for r in _RULES}, words)
+    scores = _ROUND6(model.score(ready, "doc_id", words), "score")
+    found = tagging.with_model_only(ready.select("doc_id", "rules"), scores, 0.5, "doc_id")
     return found.select("doc_id", F.array_join("model_only", ",").alias("model_only"))
 
 
